@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -30,8 +32,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver did.
 
     On a cluster the package is installed on every node or shipped with ``--py-files``; the
-    path below then simply adds nothing.
+    path below then simply adds nothing. Arrow batches of the default 10,000 rows hold tens of MB
+    of long texts in each worker; unless set otherwise they get 1,000.
     """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
