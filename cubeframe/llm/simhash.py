@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeframe.llm.common import connected, materialize, table
+from cubeframe.llm.common import connected, materialize, spread, table
 
 SEED = 42
 PAIR_CAP = 8
@@ -65,14 +65,14 @@ def with_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` whose graph has the components of 'differ in <= 2 bits'."""
     key = "IF(w < 32, fp & 4294967295L & ~shiftleft(1L, w), shiftrightunsigned(fp, 32) & ~shiftleft(1L, w - 32)) | shiftleft(CAST(w AS LONG), 32)"
-    variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select("fp", F.expr(key).alias("key"))
+    variants = spread(fps.select("fp")).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select("fp", F.expr(key).alias("key"))
     buckets = materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
     pairs = buckets.where("n = 2 AND bit_count(a ^ b) <= 2").select("a", "b")
     members = materialize(variants.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
     few = members.where(F.col("n") <= PAIR_CAP).select("key", "fp")
     some = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.fp < y.fp AND bit_count(x.fp ^ y.fp) <= 2")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     hot = members.where(F.col("n") > PAIR_CAP).select("fp").distinct()
-    wild = hot.select("fp", F.explode(F.expr("flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> named_struct('i', i, 'j', j))))")).alias("p"))
+    wild = spread(hot).select("fp", F.explode(F.expr("flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> named_struct('i', i, 'j', j))))")).alias("p"))
     wild = wild.select("fp", F.expr("CAST(p.i * 64 + p.j AS INT)").alias("p"), F.expr("fp & ~(shiftleft(1L, p.i) | shiftleft(1L, p.j))").alias("rest"))
     stars = wild.groupBy("p", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a != b")
     return pairs.union(some).union(stars).distinct()
