@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cubeframe.llm import simhash
+from cubeframe.llm import simhash, toxicity, urls
 
 QUERIES = {
+    "op3_url_filter": urls.op3_url_filter,
     "op5_simhash": simhash.op5_simhash,
+    "op7_toxicity": toxicity.op7_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE}
