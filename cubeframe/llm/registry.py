@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cubeframe.llm import simhash, toxicity, urls
+from cubeframe.llm import mixing, packing, simhash, toxicity, urls
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op3_url_filter": urls.op3_url_filter,
     "op5_simhash": simhash.op5_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE}
+ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE, "op10_mixing": mixing.ORACLE}
