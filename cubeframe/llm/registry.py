@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cubeframe.llm import mixing, packing, simhash, toxicity, urls
+from cubeframe.llm import mixing, packing, secrets, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op2_packing": packing.op2_packing,
     "op3_url_filter": urls.op3_url_filter,
     "op5_simhash": simhash.op5_simhash,
