@@ -115,6 +115,7 @@ def _features(text: str | None) -> Iterator[tuple[str, str]]:
 
 
 def _hashed(texts: Sequence[str | None], toxic: Sequence[int]) -> pd.DataFrame:
+    """Distinct (term, around, toxic) of some texts, as hashes."""
     rows = {(xxhash.xxh64_intdigest(term) - (1 << 63), xxhash.xxh32_intdigest(around) - (1 << 31), int(y)) for text, y in zip(texts, toxic, strict=True) for term, around in _features(text)}
     return pd.DataFrame(list(rows), columns=["term", "around", "toxic"])
 
@@ -134,7 +135,13 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
     # the broadcast side has at most FIT_ROWS rows of two numbers
     fit = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     fit = materialize(spread(fit.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))), "labelled")
-    parts = materialize(fit.mapInPandas(lambda it: (_hashed(p["text"], p["toxic"]) for p in it), "term long, around int, toxic int").distinct(), "neighbourhoods")
+
+    def neighbourhoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 50):  # few texts at once: their sets of features are far larger than they
+                yield _hashed(pdf["text"].iloc[at : at + 50], pdf["toxic"].iloc[at : at + 50])
+
+    parts = materialize(fit.mapInPandas(neighbourhoods, "term long, around int, toxic int").distinct(), "neighbourhoods")
     support = parts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     totals = support.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
     if not totals[0] or not totals[1]:
