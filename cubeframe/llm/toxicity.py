@@ -114,17 +114,33 @@ def _features(text: str | None) -> Iterator[tuple[str, str]]:
                     yield f" {word[:k]}", f"{around} {word[k:]}"
 
 
-def _hashed(texts: Sequence[str | None], toxic: Sequence[int]) -> pd.DataFrame:
-    """Distinct (term, around, toxic) of some texts, as hashes."""
-    rows = {(xxhash.xxh64_intdigest(term) - (1 << 63), xxhash.xxh32_intdigest(around) - (1 << 31), int(y)) for text, y in zip(texts, toxic, strict=True) for term, around in _features(text)}
-    return pd.DataFrame(list(rows), columns=["term", "around", "toxic"])
+def _hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term) - (1 << 63)
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(term, t, c): how many toxic and other texts of a part have a term; a term may come in several rows."""
+    seen: dict[int, list[int]] = {}
+
+    def flush() -> pd.DataFrame:
+        made = pd.DataFrame({"term": np.fromiter(seen, np.int64, len(seen)), "t": [x[0] for x in seen.values()], "c": [x[1] for x in seen.values()]})
+        seen.clear()
+        return made
+
+    for pdf in batches:
+        for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
+            for term in {_hash(term) for term, _ in _features(text)}:
+                seen.setdefault(term, [0, 0])[0 if y else 1] += 1
+            if len(seen) > 200_000:
+                yield flush()
+    yield flush()
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
     """Fit the lexicon on at most FIT_ROWS labelled rows outside the held-out quarter.
 
-    A term's support is the number of distinct neighbourhoods it stands in, so copies of a text
-    count once. A term is kept if its share of toxic neighbourhoods is at least PRECISION and so
+    Terms of at least four toxic texts are looked at, at most 20 * MAX_TERMS of them. A term's
+    support is the number of distinct neighbourhoods it stands in, so copies of a text count once. A term is kept if its share of toxic neighbourhoods is at least PRECISION and so
     far above the share of all that it is significant among as many candidates. Of a chain of
     beginnings with the same support the longest stays; longer ones below a kept one go.
     Without labelled rows of both classes the lexicon is empty and every score is the bias's.
@@ -136,14 +152,19 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
     fit = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     fit = materialize(spread(fit.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))), "labelled")
 
+    counted = fit.mapInPandas(_counted, "term long, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = materialize(counted, "terms")
+    likely = counted.where("t >= 4 AND t >= 0.3 * (t + c)").orderBy(F.desc(F.expr("t * t / (t + c)")), "term").limit(MAX_TERMS * 20)
+    maybe = frozenset(r.term for r in likely.collect())  # at most 20 * MAX_TERMS numbers
+
     def neighbourhoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 50):  # few texts at once: their sets of features are far larger than they
-                yield _hashed(pdf["text"].iloc[at : at + 50], pdf["toxic"].iloc[at : at + 50])
+            rows = {(h, xxhash.xxh32_intdigest(around) - (1 << 31), int(y)) for text, y in zip(pdf["text"], pdf["toxic"], strict=True) for term, around in _features(text) if (h := _hash(term)) in maybe}
+            yield pd.DataFrame(list(rows), columns=["term", "around", "toxic"])
 
     parts = materialize(fit.mapInPandas(neighbourhoods, "term long, around int, toxic int").distinct(), "neighbourhoods")
+    totals = counted.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
     support = parts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    totals = support.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
     if not totals[0] or not totals[1]:
         return Lexicon({}, exceptions)
     all_t, all_c, n_terms = map(float, totals)
@@ -156,11 +177,11 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = {term for text in pdf["text"] for term, _ in _features(text) if xxhash.xxh64_intdigest(term) - (1 << 63) in wanted}
+            found = {term for text in pdf["text"] for term, _ in _features(text) if _hash(term) in wanted}
             yield pd.DataFrame({"name": sorted(found)}, dtype=object)
 
     named = fit.mapInPandas(names, "name string").distinct().limit(MAX_TERMS * 8).collect()
-    known = {r.name: counts[h] for r in named if (h := xxhash.xxh64_intdigest(r.name) - (1 << 63)) in counts}
+    known = {r.name: counts[h] for r in named if (h := _hash(r.name)) in counts}
     terms = {}
     for name, (t, c) in sorted(known.items()):
         stems = [s for k in (*PREFIXES, 99) if (s := name.rstrip()[: k + 1]) in known and s != name]
