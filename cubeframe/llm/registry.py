@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from cubeframe.llm import mixing, packing, secrets, simhash, toxicity, urls
+from cubeframe.llm import chat, mixing, packing, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_packing": packing.op2_packing,
     "op3_url_filter": urls.op3_url_filter,
     "op5_simhash": simhash.op5_simhash,
+    "op6_chat": chat.op6_chat,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE, "op6_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE}
