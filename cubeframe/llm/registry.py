@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubeframe.llm import chat, mixing, packing, secrets, simhash, toxicity, urls
+from cubeframe.llm import chat, mixing, packing, repeats, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_chat": chat.op6_chat,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_repeats": repeats.op8_repeats,
     "op10_mixing": mixing.op10_mixing,
 }
 
