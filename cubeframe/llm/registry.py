@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubeframe.llm import chat, mixing, packing, repeats, secrets, simhash, toxicity, urls
+from cubeframe.llm import chat, media, mixing, packing, repeats, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_chat": chat.op6_chat,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_repeats": repeats.op8_repeats,
+    "op9_media": media.op9_media,
     "op10_mixing": mixing.op10_mixing,
 }
 
