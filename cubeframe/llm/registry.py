@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cubeframe.llm import chat, media, mixing, packing, repeats, secrets, simhash, toxicity, urls
+from cubeframe.llm import chat, media, mixing, neighbours, packing, repeats, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_packing": packing.op2_packing,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_simhash": simhash.op5_simhash,
     "op6_chat": chat.op6_chat,
     "op7_toxicity": toxicity.op7_toxicity,
