@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from cubeframe.llm import chat, media, mixing, neighbours, packing, repeats, secrets, simhash, toxicity, urls
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_repeats": repeats.op8_repeats,
     "op9_media": media.op9_media,
+    "pipeline": corpus_pipeline.run,
     "op10_mixing": mixing.op10_mixing,
 }
 

@@ -11,12 +11,13 @@ bits of each other, so linking each to the smallest loses no link and emits no b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubeframe.llm.common import connected, materialize, spread, table
@@ -95,6 +96,121 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return rows.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+# --- Wide fingerprints: texts similar by shingles, not just by a bit or two -----------------
+
+#: Hamming share of two fingerprints up to which their texts are linked. Texts of Jaccard
+#: similarity 0.8 over five-word shingles differ in acos(2 * 0.8 / 1.8) / pi = 0.15 of the bits.
+FAR = 0.17
+#: Bits of a segment that get a wildcard variant: those nearest to a tie, where copies differ.
+WEAK = 7
+#: Chance that a pair at a similarity of 0.8 shares a variant; the number of segments follows.
+RECALL = 0.97
+#: Bits in 64 of a bucket's two members that may differ for them to be candidates.
+SKETCH_FAR = 22
+
+
+def wide_shape(n: int) -> tuple[int, int, int]:
+    """(segments, bits of each, words of 64 bits): segments are two bits longer than log2 of the
+    number of texts, so that few share a variant by chance, and as many as RECALL asks for."""
+    bits = max(18, math.ceil(math.log2(max(2, n)))) + 2
+    share = 0.85**bits * (1 + 0.75 * bits * 0.15 / 0.85)  # no bit differs, or one of the weak ones
+    segments = math.ceil(math.log(1 - RECALL) / math.log(1 - share))
+    return segments, bits, -(-(segments * bits) // 64) + 1
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def margins(text: str | None, width: int, words: int) -> np.ndarray:
+    """For each of ``words`` * 64 bits, how many more shingles have it set than not."""
+    hashes = shingle_digests(text, width).view(">u8").ravel().astype(np.uint64)
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 1024):
+        made = _mix(hashes[at : at + 1024, None] + steps)
+        ones += np.unpackbits(made.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return 2 * ones - len(hashes)
+
+
+def variant_keys(margin: np.ndarray, segments: int, bits: int) -> np.ndarray:
+    """Each segment as it is and with each of its WEAK bits blanked, as (segment, bit, rest) in 64 bits."""
+    own = margin[: segments * bits].reshape(segments, bits)
+    powers = np.int64(1) << np.arange(bits, dtype=np.int64)
+    value = ((own > 0) * powers).sum(axis=1)
+    weak = np.argsort(np.abs(own), axis=1, kind="stable")[:, :WEAK]
+    head = np.arange(segments, dtype=np.int64)[:, None] << 8
+    blank = (head | weak) << 48 | value[:, None] & ~powers[weak]
+    return np.concatenate([((head | 255) << 48)[:, 0] | value, blank.ravel()])
+
+
+def _packed(margin: np.ndarray) -> np.ndarray:
+    return np.packbits(margin > 0).view(">i8").astype(np.int64)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): rows whose texts are linked by wide fingerprints; component is the smallest id.
+
+    Equal word sequences (ASCII case aside) are one text. Variants that two texts share make
+    them a candidate if 64 further bits agree well enough; up to PAIR_CAP texts under a variant
+    are joined with each other, of more each with the smallest and the largest id; that is as
+    many candidates as members, and a group's texts meet under many other variants. Candidates
+    are verified on all bits. Null and empty texts are one text. Rows with a null id are left
+    out. An empty table gives no rows.
+    """
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            joined = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "h1": [xxhash.xxh64_intdigest(x, 1) - (1 << 63) for x in joined], "h2": [xxhash.xxh64_intdigest(x, 2) - (1 << 63) for x in joined]})
+
+    rows = materialize(own.mapInPandas(named, "id long, h1 long, h2 long"), "named")
+    texts = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("low")), "texts")
+    segments, bits, words = wide_shape(texts.count())
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 100):
+                part = [margins(t, width, words) for t in pdf["text"].iloc[at : at + 100]]
+                yield pd.DataFrame({"id": pdf["id"].iloc[at : at + 100].to_numpy(), "fp": [_packed(m) for m in part], "keys": [variant_keys(m, segments, bits) for m in part]})
+
+    # repeated rows of one id have the same text or are told apart by nothing: one stays
+    firsts = own.join(texts.select(F.col("low").alias("id")).distinct(), "id", "left_semi")
+    prints = materialize(firsts.mapInPandas(marked, "id long, fp array<long>, keys array<long>").dropDuplicates(["id"]), "prints")
+    variants = spread(prints.select("id", F.element_at("fp", -1).alias("s"), "keys")).select("id", "s", F.explode("keys").alias("key"))
+    buckets = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.expr("bit_xor(s)").alias("x"))
+    buckets = materialize(buckets.where(f"n > 2 OR (n = 2 AND bit_count(x) <= {SKETCH_FAR})"), "shared")
+    pairs = buckets.where("n = 2").select("a", "b")
+    members = materialize(variants.join(buckets.where("n > 2").select("key", "n", "a", "b"), "key"), "bucketed")
+    few = members.where(F.col("n") <= PAIR_CAP).select("key", "id", "s")
+    some = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND bit_count(x.s ^ y.s) <= {SKETCH_FAR}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    many = members.where(F.col("n") > PAIR_CAP).select("id", F.explode(F.array("a", "b")).alias("hub")).where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    asked = materialize(pairs.union(some).union(many).distinct(), "candidates")
+    held = prints.select("id", "fp")
+    both = asked.join(held.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
+    near = both.where(f"aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c) <= {int(FAR * 64 * words)}").select("a", "b")
+    roots = connected(near)
+    rooted = texts.join(roots, texts.low == roots.node, "left").select("h1", "h2", F.coalesce("root", "low").alias("component"))
+    return rows.join(rooted, ["h1", "h2"]).select("id", "component")
+
+
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` but for all of each group of similar texts other than the smallest doc_id's.
+
+    Rows with a null doc_id stay. Of repeated rows of one doc_id the first in the order of all columns stays.
+    """
+    groups = materialize(similar_groups(docs, width), "similar")
+    if groups.count() != groups.select("id").distinct().count():
+        null, known = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+        order = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"] or ["doc_id"]))
+        docs = known.withColumn("__nth", order).where("__nth = 1").drop("__nth").unionByName(null)
+    gone = groups.where("id != component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), 3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
