@@ -12,8 +12,9 @@ told apart by a second one over all their bytes.
   sort whose comparisons find the common extension by binary search over prefix polynomial
   hashes. Neighbours whose extension reaches ``length`` are compared byte by byte.
 
-A minimizer under which more than ``GROUP`` different runs meet is divided among tasks by window
-hashes (128 bits), so that no task holds a hot passage's surroundings.
+A minimizer under which more than ``GROUP`` different runs meet is divided among tasks by the
+windows' offsets, if need be also by their hashes, and the windows' hashes (128 bits) are
+compared instead, so that no task holds a hot passage's surroundings.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LENGTH = 200
 GRAM = 40
 #: Different runs of one minimizer that a task compares at once.
 GROUP = 256
+#: Of larger ones: offsets that a task takes together, and runs to a part.
+BLOCK, PART = 64, 100_000
 #: Bytes of text hashed at once; a longer document is taken alone.
 CHUNK = 1 << 20
 #: Odd bases of the prefix hashes modulo 2^64; strings compared are far shorter than any that collide for all bases.
@@ -272,19 +275,60 @@ def _compare(length: int):
 
 
 def _hashed_windows(length: int):
-    """mapInPandas over runs: (mh, rk, nth, h1, h2) of every window."""
+    """mapInPandas over runs: (mh, block, part, rk, nth, packed) with a run's windows of BLOCK offsets
+    each, their numbers in the run, and two hashes of each; of a very hot minimizer in several parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for mh, rk, off, data in zip(pdf["mh"], pdf["rk"], pdf["off"], pdf["data"], strict=True):
-                x = np.frombuffer(data, np.uint8)
-                h1, h2 = (PrefixHash(x, b).every(length) for b in BASES)
-                nth = np.arange(len(h1), dtype=np.int32)
-                yield pd.DataFrame({"mh": mh, "rk": rk, "nth": nth, "h1": _signed(h1 + (off + nth + length).astype(np.uint64)), "h2": _signed(h2)})
+            strings = list(pdf["data"])
+            sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+            data, first = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes
+            hashes = [PrefixHash(data, b) for b in BASES]
+            out = []
+            for mh, rk, off, kinds, at, size in zip(pdf["mh"], pdf["rk"], pdf["off"], pdf["kinds"], first, sizes, strict=True):
+                nth = np.arange(size - length + 1)
+                pair = np.stack([_signed(h.at(at + nth, length)) for h in hashes], axis=1)
+                parts = -(-kinds // PART)
+                own = ((off + nth) // BLOCK) * parts + (pair[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                for key in np.unique(own):
+                    mine = np.flatnonzero(own == key)
+                    out.append((mh, key // parts, key % parts, rk, off, mine.astype(np.int32).tobytes(), pair[mine].tobytes()))
+            yield pd.DataFrame(out, columns=["mh", "block", "part", "rk", "off", "nth", "packed"])
 
     return run
 
 
+def _compare_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas over rows of _hashed_windows sorted by (mh, block, part): (mh, rk, first, n) of repeated windows."""
+
+    def solve(rows: list[tuple]) -> pd.DataFrame:
+        nth = [np.frombuffer(r[5], np.int32).astype(np.int64) for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in nth])
+        pair = np.frombuffer(b"".join(r[6] for r in rows), np.int64).reshape(-1, 2)
+        offset = np.concatenate(nth) + np.array([r[4] for r in rows])[row]
+        order = np.lexsort((pair[:, 1], pair[:, 0], offset))
+        x, o = pair[order], offset[order]
+        same = (x[1:] == x[:-1]).all(axis=1) & (o[1:] == o[:-1])
+        hit = np.zeros(len(order), bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        out, ends = [], np.cumsum([len(x) for x in nth])
+        for r, own, end in zip(rows, nth, ends, strict=True):
+            flags = np.zeros(own[-1] + 1, bool)
+            flags[own] = hit[end - len(own) : end]
+            out += [(r[0], r[3], a, b - a) for a, b in _ranges(flags)]
+        return pd.DataFrame(out, columns=["mh", "rk", "first", "n"])
+
+    held: list[tuple] = []
+    for pdf in batches:
+        for row in zip(*(pdf[c] for c in ("mh", "block", "part", "rk", "off", "nth", "packed")), strict=True):
+            if held and row[:3] != held[-1][:3]:
+                yield solve(held)
+                held = []
+            held.append(row)
+    if held:
+        yield solve(held)
+
+
 def find_repeats(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, digest, first, n): windows ``first`` .. ``first + n`` of a row's text occur elsewhere."""
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
@@ -296,22 +340,29 @@ def find_repeats(docs: DataFrame, length: int) -> DataFrame:
     kinds = again.where("mixed").groupBy("mh", "rk").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "digest", "at", "n", "off")).alias("one"))
     kinds = materialize(kinds.select("mh", "rk", "times", "one.*"), "kinds")
     per = materialize(kinds.groupBy("mh").agg(F.count("*").alias("kinds")), "groups")
-    wanted = kinds.join(per, "mh").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("mh", "rk", "off", "at", "n", "kinds")).alias("runs"))
+    wanted = kinds.join(per, "mh").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("mh", "rk", "off", "kinds", "at", "n")).alias("runs"))
+    names = ("mhs", "rks", "offs", "kindss")
+    wanted = wanted.select("doc_id", "digest", *[F.col(f"runs.{c}").alias(f"{c}s") for c in ("mh", "rk", "off", "kinds", "at", "n")])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for packed, asked in zip(pdf["packed"], pdf["runs"], strict=True):
+            out = []
+            for packed, *asked in zip(*(pdf[c] for c in ("packed", *names, "ats", "ns")), strict=True):
                 data = zstandard.decompress(packed)
-                yield pd.DataFrame([(r["mh"], r["rk"], r["off"], r["kinds"], data[r["at"] : r["at"] + r["n"] - 1 + length]) for r in asked], columns=["mh", "rk", "off", "kinds", "data"])
+                for mh, rk, off, kinds, at, n in zip(*(x.tolist() for x in asked), strict=True):
+                    out.append((mh, rk, off, kinds, data[at : at + n - 1 + length]))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=["mh", "rk", "off", "kinds", "data"])
+                    out = []
+            yield pd.DataFrame(out, columns=["mh", "rk", "off", "kinds", "data"])
 
     # repeated rows have one digest: any of them will do
-    fetched = _packed(plain).join(wanted, ["doc_id", "digest"]).select("packed", "runs").mapInPandas(cut, "mh long, rk long, off int, kinds long, data binary")
+    fetched = _packed(plain).join(wanted, ["doc_id", "digest"]).select("packed", *names, "ats", "ns").mapInPandas(cut, "mh long, rk long, off int, kinds long, data binary")
     fetched = materialize(fetched, "fetched").dropDuplicates(["mh", "rk"])
     fetched = materialize(fetched, "bytes")
     small = fetched.where(F.col("kinds") <= GROUP).repartition("mh").sortWithinPartitions("mh").mapInPandas(_compare(length), "mh long, rk long, first int, n int")
-    windows = spread(fetched.where(F.col("kinds") > GROUP)).mapInPandas(_hashed_windows(length), "mh long, rk long, nth int, h1 long, h2 long")
-    shared = windows.groupBy("mh", "h1", "h2").agg(F.count("*").alias("c"), F.collect_set(F.struct("rk", "nth")).alias("all"))
-    large = shared.where("c > 1").select("mh", F.explode("all").alias("x")).select("mh", "x.rk", F.col("x.nth").alias("first"), F.lit(1).alias("n"))
+    windows = spread(fetched.where(F.col("kinds") > GROUP)).mapInPandas(_hashed_windows(length), "mh long, block int, part int, rk long, off int, nth binary, packed binary")
+    large = windows.repartition("mh", "block", "part").sortWithinPartitions("mh", "block", "part").mapInPandas(_compare_hashes, "mh long, rk long, first int, n int")
     parts = small.unionByName(large).unionByName(kinds.where("times > 1").select("mh", "rk", F.lit(0).alias("first"), "n"))
     parts = materialize(parts, "parts")
     mixed = again.where("mixed").select("mh", "rk", "doc_id", "digest", "at").join(parts, ["mh", "rk"]).select("doc_id", "digest", (F.col("at") + F.col("first")).alias("first"), "n")
