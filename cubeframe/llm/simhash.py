@@ -184,10 +184,11 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     buckets = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.expr("bit_xor(s)").alias("x"))
     buckets = materialize(buckets.where(f"n > 2 OR (n = 2 AND bit_count(x) <= {SKETCH_FAR})"), "shared")
     pairs = buckets.where("n = 2").select("a", "b")
-    members = materialize(variants.join(buckets.where("n > 2").select("key", "n", "a", "b"), "key"), "bucketed")
-    few = members.where(F.col("n") <= PAIR_CAP).select("key", "id", "s")
+    members = materialize(variants.select("key", "id").join(buckets.where("n > 2").select("key", "n", "a", "b"), "key"), "bucketed")
+    few = members.where(F.col("n") <= PAIR_CAP).select("key", "id").join(prints.select("id", F.element_at("fp", -1).alias("s")), "id")
     some = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND bit_count(x.s ^ y.s) <= {SKETCH_FAR}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = members.where(F.col("n") > PAIR_CAP).select("id", F.explode(F.array("a", "b")).alias("hub")).where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    many = members.where(F.col("n") > PAIR_CAP)
+    many = many.where("id != a").select("a", F.col("id").alias("b")).union(many.where("id != b").select(F.col("id").alias("a"), "b"))
     asked = materialize(pairs.union(some).union(many).distinct(), "candidates")
     held = prints.select("id", "fp")
     both = asked.join(held.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
