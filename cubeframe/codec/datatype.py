@@ -234,7 +234,7 @@ def spark_type(t: DType, u64: str = "decimal", enums: str = "name") -> T.DataTyp
 
 def of_spark(s: T.DataType) -> DType:
     """The element type that a Spark type is stored as."""
-    plain = {T.ByteType: "i8", T.ShortType: "i16", T.IntegerType: "i32", T.LongType: "i64", T.FloatType: "f32", T.DoubleType: "f64", T.BooleanType: "bool", T.StringType: "string", T.TimestampType: "i64", T.DateType: "i32"}
+    plain = {T.ByteType: "i8", T.ShortType: "i16", T.IntegerType: "i32", T.LongType: "i64", T.FloatType: "f32", T.DoubleType: "f64", T.BooleanType: "bool", T.StringType: "string", T.TimestampType: "i64", T.TimestampNTZType: "i64", T.DateType: "i32"}
     if name := plain.get(type(s)):
         return named(name)
     if isinstance(s, T.DecimalType) and s.scale == 0 and s.precision <= 20:
