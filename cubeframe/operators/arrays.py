@@ -24,7 +24,7 @@ def axes_of(df: DataFrame) -> list[str]:
 
 def slab(df: DataFrame, starts: Sequence[int], counts: Sequence[int], shape: Sequence[int] | None = None) -> DataFrame:
     """Cells of the box [start, start + count) on each axis. Rank and, with ``shape``, bounds are
-    checked at once. The comparisons reach the ``h5`` source, which then reads only chunks they touch."""
+    checked at once. Of an array that ``read_array`` gave, only chunks that the box touches are read."""
     axes = axes_of(df)
     if len(starts) != len(axes) or len(counts) != len(axes):
         raise OutOfBounds(f"a box of rank {len(starts)} for axes {axes}")
@@ -32,6 +32,10 @@ def slab(df: DataFrame, starts: Sequence[int], counts: Sequence[int], shape: Seq
         raise OutOfBounds("negative start or count")
     if shape is not None and any(s + n > m for s, n, m in zip(starts, counts, shape, strict=True)):
         raise OutOfBounds(f"{tuple(starts)} + {tuple(counts)} beyond {tuple(shape)}")
+    if source := getattr(df, "_cubeframe_source", None):
+        path, dataset, form, options = source
+        if "box" not in options:
+            df = read_array(df.sparkSession, path, dataset, form, **options, box=",".join(f"{s}:{s + n}" for s, n in zip(starts, counts, strict=True)))
     for a, s, n in zip(axes, starts, counts, strict=True):
         df = df.where((F.col(a) >= F.lit(s)) & (F.col(a) < F.lit(s + n)))
     return df
@@ -180,7 +184,9 @@ def read_array(spark: SparkSession, path: str, dataset: str, form: str = "long",
     reader = register(spark).read.format("h5").option("path", path).option("dataset", dataset).option("form", form)
     for name, value in options.items():
         reader = reader.option(name, str(value).lower() if isinstance(value, bool) else value)
-    return reader.load()
+    df = reader.load()
+    df._cubeframe_source = (path, dataset, form, options)  # a box of it is read anew, with its own plan
+    return df
 
 
 def write_array(df: DataFrame, path: str, dataset: str, *, mode: str = "append", shape: Sequence[int] | None = None, chunk: Sequence[int] | None = None, max_shape: Sequence[int | None] | None = None, attributes: dict[str, str | int | float] | None = None, **options: object) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Make ``format("h5")`` known to a session, with filter pushdown to it."""
+    """Make ``format("h5")`` known to a session."""
     from cubeframe.sources.h5 import H5DataSource
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -2,7 +2,10 @@
 
 Read options: ``path``, ``dataset``, ``form`` (long, frame or chunk), ``u64`` (decimal or long),
 ``enums`` (name or code), ``flatten``, ``fields`` (compound members, by commas), ``paired``,
-``target_bytes`` (of a partition), ``prune`` (false turns chunk pruning off).
+``target_bytes`` (of a partition), ``box`` (``low:high`` of each axis, by commas: only chunks that
+touch it are planned and only its cells returned), ``pushdown`` (true: comparisons of d* with
+constants make the box; Spark keeps what was pushed with the loaded relation, so a DataFrame read
+so must not be scanned twice with different filters in one query).
 
 Write options: ``path``, ``dataset``, ``shape``, ``chunk``, ``max_shape`` (``*`` is unlimited),
 ``filters``, ``index``, ``dtype``, ``null_value``, ``attr.<name>`` (a string) and
@@ -96,11 +99,13 @@ class BoxReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType, how: dict):
         self.options, self.schema, self.how = dict(options), schema, how
         self.bounds: dict[str, list[int | None]] = {}
+        for i, span in enumerate(filter(None, self.options.get("box", "").split(","))):
+            self.bounds[f"d{i}"] = [int(x) if x.strip() else None for x in span.split(":")]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else ""
-            if self.options.get("prune", "true") == "true" and name[:1] == "d" and name[1:].isdigit():
+            if self.options.get("pushdown", "false") == "true" and name[:1] == "d" and name[1:].isdigit():
                 low, high = self.bounds.setdefault(name, [None, None])
                 if isinstance(f, In):
                     values = [v for v in f.value if v is not None]
