@@ -135,21 +135,30 @@ def margins(text: str | None, width: int, words: int) -> np.ndarray:
     return 2 * ones - len(hashes)
 
 
-def variant_keys(margin: np.ndarray, segments: int, bits: int) -> np.ndarray:
-    """Each segment as it is and with each of its WEAK bits blanked, as (segment, bit, rest) in 64 bits."""
-    own = margin[: segments * bits].reshape(segments, bits)
-    powers = np.int64(1) << np.arange(bits, dtype=np.int64)
-    value = ((own > 0) * powers).sum(axis=1)
-    weak = np.argsort(np.abs(own), axis=1, kind="stable")[:, :WEAK]
-    head = np.arange(segments, dtype=np.int64)[:, None] << 8
-    blank = (head | weak) << 48 | value[:, None] & ~powers[weak]
-    return np.concatenate([((head | 255) << 48)[:, 0] | value, blank.ravel()])
-
-
 def _packed(margin: np.ndarray) -> np.ndarray:
     return np.packbits(margin > 0).view(">i8").astype(np.int64)
 
 
+def weak_bits(margin: np.ndarray, segments: int, bits: int) -> bytes:
+    """Of each segment the WEAK bits nearest to a tie, a byte each."""
+    own = np.abs(margin[: segments * bits].reshape(segments, bits))
+    return np.argsort(own, axis=1, kind="stable")[:, :WEAK].astype(np.uint8).tobytes()
+
+
+def variant_keys(prints: np.ndarray, weak: np.ndarray, segments: int, bits: int) -> np.ndarray:
+    """(texts, keys): each segment as it is and with each of its weak bits blanked, as (segment, bit,
+    rest) in 64 bits. ``prints`` are packed fingerprints (texts, words), ``weak`` (texts, segments * WEAK)."""
+    n = len(prints)
+    set_ = np.unpackbits(prints.astype(">i8").view(np.uint8).reshape(n, -1), axis=1)[:, : segments * bits].reshape(n, segments, bits)
+    powers = np.int64(1) << np.arange(bits, dtype=np.int64)
+    value = (set_ * powers).sum(axis=2)
+    at = weak.reshape(n, segments, WEAK).astype(np.int64)
+    head = np.arange(segments, dtype=np.int64) << 8
+    plain = (head | 255) << 48 | value
+    blank = (head[:, None] | at) << 48 | value[:, :, None] & ~powers[at]
+    return np.concatenate([plain, blank.reshape(n, -1)], axis=1)
+
+
 def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): rows whose texts are linked by wide fingerprints; component is the smallest id.
 
@@ -161,32 +170,45 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     out. An empty table gives no rows.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            joined = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "h1": [xxhash.xxh64_intdigest(x, 1) - (1 << 63) for x in joined], "h2": [xxhash.xxh64_intdigest(x, 2) - (1 << 63) for x in joined]})
-
-    rows = materialize(own.mapInPandas(named, "id long, h1 long, h2 long"), "named")
-    texts = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("low")), "texts")
-    segments, bits, words = wide_shape(texts.count())
+    segments, bits, words = wide_shape(own.count())
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 100):
-                part = [margins(t, width, words) for t in pdf["text"].iloc[at : at + 100]]
-                yield pd.DataFrame({"id": pdf["id"].iloc[at : at + 100].to_numpy(), "fp": [_packed(m) for m in part], "keys": [variant_keys(m, segments, bits) for m in part]})
-
-    # repeated rows of one id have the same text or are told apart by nothing: one stays
-    firsts = own.join(texts.select(F.col("low").alias("id")).distinct(), "id", "left_semi")
-    prints = materialize(firsts.mapInPandas(marked, "id long, fp array<long>, keys array<long>").dropDuplicates(["id"]), "prints")
-    variants = spread(prints.select("id", F.element_at("fp", -1).alias("s"), "keys")).select("id", "s", F.explode("keys").alias("key"))
+            out = []
+            for ident, text in zip(pdf["id"], pdf["text"], strict=True):
+                joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+                margin = margins(text, width, words)
+                out.append((ident, xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined, 2) - (1 << 63), _packed(margin), weak_bits(margin, segments, bits)))
+            yield pd.DataFrame(out, columns=["id", "h1", "h2", "fp", "weak"])
+
+    rows = materialize(own.mapInPandas(marked, "id long, h1 long, h2 long, fp array<long>, weak binary"), "marked")
+    # equal word sequences have equal marks: any row's will do
+    prints = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("weak").alias("weak")), "prints")
+
+    def varied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                fp = np.stack(pdf["fp"].to_numpy())
+                keys = variant_keys(fp, np.frombuffer(b"".join(pdf["weak"]), np.uint8), segments, bits)
+                many = keys.shape[1]
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), many), "s": np.repeat(fp[:, -1], many), "key": keys.ravel()})
+
+    variants = spread(prints.select("id", "fp", "weak")).mapInPandas(varied, "id long, s long, key long")
     buckets = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.expr("bit_xor(s)").alias("x"))
     buckets = materialize(buckets.where(f"n > 2 OR (n = 2 AND bit_count(x) <= {SKETCH_FAR})"), "shared")
     pairs = buckets.where("n = 2").select("a", "b")
     members = materialize(variants.select("key", "id").join(buckets.where("n > 2").select("key", "n", "a", "b"), "key"), "bucketed")
-    few = members.where(F.col("n") <= PAIR_CAP).select("key", "id").join(prints.select("id", F.element_at("fp", -1).alias("s")), "id")
-    some = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND bit_count(x.s ^ y.s) <= {SKETCH_FAR}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    sketches = prints.select("id", F.element_at("fp", -1).alias("s"))
+    few = materialize(members.where(F.col("n") <= PAIR_CAP).join(sketches, "id"), "few")
+    ends = few.where("id = a").select("key", F.col("s").alias("sa")).join(few.where("id = b").select("key", F.col("s").alias("sb")), "key")
+    few = few.where("id != a AND id != b").join(ends, "key")
+    # the smallest and largest id meet all, then the others each other
+    low = few.where(f"bit_count(s ^ sa) <= {SKETCH_FAR}").select("a", F.col("id").alias("b"))
+    high = few.where(f"bit_count(s ^ sb) <= {SKETCH_FAR}").select(F.col("id").alias("a"), "b")
+    both = ends.where(f"bit_count(sa ^ sb) <= {SKETCH_FAR}").select("key").join(members.where("id = a").select("key", "a", "b"), "key").select("a", "b")
+    inner = few.select("key", "id", "s")
+    inner = inner.alias("x").join(inner.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND bit_count(x.s ^ y.s) <= {SKETCH_FAR}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    some = low.union(high).union(both).union(inner)
     many = members.where(F.col("n") > PAIR_CAP)
     many = many.where("id != a").select("a", F.col("id").alias("b")).union(many.where("id != b").select(F.col("id").alias("a"), "b"))
     asked = materialize(pairs.union(some).union(many).distinct(), "candidates")
@@ -194,8 +216,8 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     both = asked.join(held.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
     near = both.where(f"aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c) <= {int(FAR * 64 * words)}").select("a", "b")
     roots = connected(near)
-    rooted = texts.join(roots, texts.low == roots.node, "left").select("h1", "h2", F.coalesce("root", "low").alias("component"))
-    return rows.join(rooted, ["h1", "h2"]).select("id", "component")
+    rooted = prints.join(roots, prints.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("component"))
+    return rows.select("id", "h1", "h2").join(rooted, ["h1", "h2"]).select("id", "component")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
