@@ -162,12 +162,12 @@ def bitshuffle(data: bytes, params: Sequence[int], size: int = 0) -> bytes:
 
 def bitunshuffle(data: bytes, params: Sequence[int], size: int = 0) -> bytes:
     width, block, packed, order = _bit_geometry(params)
-    at, total, step = 0, len(data), block * width
-    if packed:
-        total, step = struct.unpack_from(">QI", data)
-        at = 12
-    whole, out, done = total // (8 * width) * 8 * width, [], 0
+    at, total, step, out, done = 0, len(data), block * width, [], 0
     try:
+        if packed:
+            total, step = struct.unpack_from(">QI", data)
+            at = 12
+        whole = total // (8 * width) * 8 * width
         while done < whole:
             want = n = min(step, whole - done)
             if packed:

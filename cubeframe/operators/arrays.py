@@ -134,11 +134,15 @@ def to_frames(df: DataFrame, shape: Sequence[int]) -> DataFrame:
     frames = own.groupBy(F.col("__d0").alias("d0")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("linear").cast("int"), "value"))).alias("m"))
     flat = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast(kind)))
     for size in reversed(inner[1:]):
-        many = F.sequence(F.lit(0), (F.size(flat) / size).cast("int") - 1)
-        flat = F.transform(many, lambda i, flat=flat, size=size: F.slice(flat, i * size + 1, size))
+        flat = _nested(flat, size)
     return frames.select("d0", flat.alias("value"))
 
 
+def _nested(flat: Column, size: int) -> Column:
+    """An array cut into arrays of ``size``."""
+    return F.transform(F.sequence(F.lit(0), (F.size(flat) / size).cast("int") - 1), lambda i: F.slice(flat, i * size + 1, size))
+
+
 def explode_frames(df: DataFrame, rank: int) -> DataFrame:
     """Frames back to the long form, by posexplode."""
     for i in range(1, rank):
