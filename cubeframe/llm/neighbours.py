@@ -82,7 +82,8 @@ def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, largest: float) -> list[tuple[int, int, float]]:
     """(query, row, score) of each query's k best candidates in one block."""
-    marks = Forest(vectors, largest).candidates(queries, int(ENOUGH * len(ids)))
+    # the second bound makes sure of k rows besides the query, or else of all rows
+    marks = Forest(vectors, largest).candidates(queries, int(max(ENOUGH * len(ids), TREES * (k + 1))))
     marks &= query_ids[:, None] != ids[None, :]
     out = []
     for at in range(0, len(queries), 256):
