@@ -192,7 +192,7 @@ def pack(docs: DataFrame, capacity: int, path: str, id_col: str = "doc_id", text
     before = sizes.select("length", "part", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
     before = materialize(before, "before")
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = made.withColumn("within", within).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("within"))
+    ranked = made.withColumn("within", within).join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("within"))
     keys = slots[:, 0] << 44 | slots[:, 1]
 
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
