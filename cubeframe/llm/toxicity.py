@@ -198,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
         for pdf in batches:
             yield pd.DataFrame({"x": [made.density(t) for t in pdf["text"]], "y": pdf["toxic"].astype("float64")})
 
-    fitted = fit.mapInPandas(densities, "x double, y double").orderBy("x", "y").toPandas()  # at most FIT_ROWS rows
+    fitted = fit.mapInPandas(densities, "x double, y double").toPandas().sort_values(["x", "y"])  # at most FIT_ROWS rows
     made.bias, made.slope = _logistic(fitted["x"].to_numpy(), fitted["y"].to_numpy())
     return made
 
