@@ -87,7 +87,7 @@ def _features(word: str, secret: str, before: str, after: str) -> list[str]:
 
 def findings(text: str) -> str:
     """SQL: array of struct(at, word, secret, before, after) of a text's candidate words, in text order."""
-    looks = f"length(ws[i]) >= 16 AND length(ws[i]) <= 4096 AND ws[i] RLIKE '[0-9A-Z_]' AND ws[i] RLIKE {_quoted(_LOOK)}"
+    looks = f"length(ws[i]) >= 16 AND ws[i] RLIKE '[0-9A-Z_]' AND ws[i] RLIKE {_quoted(_LOOK)}"
     found = f"transform(filter(sequence(0, size(ws) - 1), i -> {looks}), i -> named_struct('at', i, 'word', {_bare('ws[i]')}, 'secret', {_secret(_bare('ws[i]'))}, 'before', concat_ws(' ', get(ws, i - 2), get(ws, i - 1)), 'after', coalesce(get(ws, i + 1), '')))"
     # the array of one split text keeps it from being split again for each use
     return rf"element_at(transform(array(split({text}, '[\\x20\\x09-\\x0D]+')), ws -> {found}), 1)"
@@ -200,7 +200,7 @@ def find_secrets(docs: DataFrame, forest: str, id_col: str = "doc_id", text_col:
     """One row per proposed finding: id, at (word number from 0), rule, secret, probability, is_secret.
 
     Null and empty texts have none. Repeated rows are each reported. Other columns are ignored.
-    Words of over 4,096 characters aren't candidates. No shuffle.
+    No shuffle.
     """
     found = docs.select(F.col(id_col).alias("id"), F.explode(scan(docs, forest, text_col)).alias("f"))
     return found.select("id", "f.at", "f.rule", "f.secret", "f.probability", (F.col("f.probability") >= THRESHOLD).alias("is_secret"))
