@@ -158,20 +158,65 @@ def test_damage(tmp_path):
         container.open_container(str(path))
 
 
-def test_many_strings(tmp_path):
-    texts = ["alice", "", "é" * 50_000, "b"] * 40_000
-    body, refs = bd.heap_collections([t.encode() for t in texts])
+def test_strings(tmp_path):
+    """Many and large strings in many collections; references of either width."""
+    texts = ["alice", "", "é" * 50_000, "b"] * 100 + ["x"] * 70_000
     b = bd.Builder(str(tmp_path / "x.h5"))
+    body, refs = bd.heap_collections([t.encode() for t in texts])
     refs["at"] += b.put(body)
-    b.contiguous(bd.Spec("names", dt.VSTRING, (len(texts),)), b.put(refs.tobytes())) if False else None
-    small = texts[:9]
-    body, refs = bd.heap_collections([t.encode() for t in small])
-    refs["at"] += b.put(body)
-    b.contiguous(bd.Spec("names", dt.VSTRING, (9,)), b.put(refs.tobytes()))
+    b.contiguous(bd.Spec("names", dt.VSTRING, (len(texts),)), b.put(refs.tobytes()))
+    short = np.zeros(4, np.dtype([("at", "<u8"), ("k", "<u4")]))
+    short["at"], short["k"] = refs["at"][:4], refs["k"][:4]
+    short["at"][1] = 2**64 - 1
+    b.contiguous(bd.Spec("short", dt.DType("vstring", 12), (4,)), b.put(short.tobytes()))
     b.finish()
     c = container.open_container(str(tmp_path / "x.h5"))
-    d = c.dataset("names")
-    assert dt.to_arrow(c.read_rows(d, 0, 9), d.type, c.strings).to_pylist() == small
+    for name, want in (("names", texts), ("short", texts[:4])):
+        d = c.dataset(name)
+        cells = c.read_rows(d, 0, len(want))
+        with pytest.raises(errors.OutOfBounds):
+            c.box(d, (0,), (len(want) + 1,))
+        assert dt.to_arrow(cells, d.type, c.strings).to_pylist() == want if name == "names" else [want[0], "", *want[2:]]
+
+
+def test_paired_dialect(tmp_path):
+    """An extensible array with direct blocks in pairs, and a tree whose records start with coordinates."""
+    from cubeframe.codec.cursor import Bytes
+
+    x = np.arange(200.0)
+    b = bd.Builder(str(tmp_path / "x.h5"))
+    where = [b.put(v.tobytes()) for v in x]
+    header = b.reserve(72)
+    index = Bytes(b"EAIB").uint(0, 2).address(header)
+    for w in where[:4]:
+        index.address(w)
+    start = 0
+    for n in (16, 16, 32, 32, 64, 64):
+        block = Bytes(b"EADB").uint(0, 2).address(header).uint(start, 4)
+        for k in range(n):
+            block.address(where[4 + start + k] if 4 + start + k < len(x) else None)
+        index.address(b.put(block.sealed()))
+        start += n
+    for _ in range(25):
+        index.address(None)
+    block = b.put(index.sealed())
+    head = Bytes(b"EAHD").uint(0, 2)
+    for v in (8, 32, 4, 16, 4, 10):
+        head.uint(v, 1)
+    for v in (0, 0, 6, 0, len(x), 228):
+        head.size(v)
+    b.poke(header, head.address(block).sealed())
+    b._header(bd.Spec("ea", dt.real(8), (200,), (None,), (1,)), ms.Layout("chunked", header, chunk=(1,), index=ms.EXTENSIBLE, params=ix.EA_PARAMS), False)
+    leaf = Bytes(b"BTLF").uint(0, 1).uint(10, 1)
+    for k, w in enumerate(where[:9]):
+        leaf.uint(k // 3, 8).uint(k % 3, 8).address(w)
+    root = b.put(leaf.sealed())
+    tree = Bytes(b"BTHD").uint(0, 1).uint(10, 1).uint(4096, 4).uint(24, 2).uint(0, 2).uint(100, 1).uint(40, 1).address(root).uint(9, 2).size(9)
+    b._header(bd.Spec("bt", dt.real(8), (3, 3), (None, None), (1, 1)), ms.Layout("chunked", b.put(tree.sealed()), chunk=(1, 1), index=ms.BTREE2, params=(4096, 100, 40)), False)
+    b.finish()
+    c = container.open_container(str(tmp_path / "x.h5"), paired=True)
+    assert (c.box(c.dataset("ea"), (0,), (200,)) == x).all()
+    assert (c.box(c.dataset("bt"), (0, 0), (3, 3)) == x[:9].reshape(3, 3)).all()
 
 
 def old_file() -> bytes:
