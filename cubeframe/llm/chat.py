@@ -61,8 +61,10 @@ def _plain(turns: Column) -> Column:
 
 def _same(formatted: Column, turns: Column) -> Column:
     """Whether parsing gives the turns back, and nothing stands outside of them."""
-    whole = F.length(formatted) == F.aggregate(parse(formatted), F.lit(0), lambda n, t: n + t["skip"] + F.length(t["raw"]) + F.when(t["role"] == "user", 8).otherwise(0) + 4)
-    return (_plain(parse(formatted)) == turns) & whole
+    size = lambda n, t: n + t["skip"] + F.length(t["raw"]) + F.when(t["role"] == "user", 8).otherwise(0) + 4
+    # parsed once: an array of one, for its lambda to use twice
+    check = F.transform(F.array(parse(formatted)), lambda p: (_plain(p) == turns) & (F.length(formatted) == F.aggregate(p, F.lit(0), size)))
+    return F.element_at(check, 1)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -79,13 +81,15 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select("conv_id", _plain(F.col("t")).alias("turns"))
     one = lambda t: F.array(F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    fits = turns.withColumn("fits", F.transform("turns", lambda t: _same(render_turn(t["role"], t["text"]), one(t))))
+    # a text without a first sign of a control string has none: only the whole conversation need be parsed
+    fits = turns.withColumn("fits", F.transform("turns", lambda t: F.when(~t["text"].rlike(r"[<\[]"), True).otherwise(_same(render_turn(t["role"], t["text"]), one(t)))))
     mixed = F.zip_with("turns", "fits", lambda t, fit: render_turn(t["role"], F.when(fit, t["text"]).otherwise(escape(t["text"]))))
     tried = fits.withColumn("formatted", F.array_join(mixed, "")).withColumn("first", _same(F.col("formatted"), F.col("turns")))
     safe = F.array_join(F.transform("turns", lambda t: render_turn(t["role"], escape(t["text"]))), "")
     done = tried.withColumn("formatted", F.when(F.col("first"), F.col("formatted")).otherwise(safe))
     done = done.withColumn("escaped", F.when(F.col("first"), F.size(F.filter("fits", lambda x: ~x))).otherwise(F.size("turns")).cast("long"))
-    read = done.select("conv_id", "formatted", "escaped", parse(F.col("formatted")).alias("parsed"), (_same(F.col("formatted"), F.col("turns"))).alias("identical"))
+    identical = F.when(F.col("first"), True).otherwise(_same(F.col("formatted"), F.col("turns")))
+    read = done.select("conv_id", "formatted", "escaped", parse(F.col("formatted")).alias("parsed"), identical.alias("identical"))
     step = lambda acc, t: F.struct(
         (acc["at"] + t["skip"] + F.length(t["raw"]) + F.when(t["role"] == "user", 8).otherwise(0) + 4).alias("at"),
         F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["skip"]).alias("start"), F.length(t["raw"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
