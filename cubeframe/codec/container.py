@@ -31,7 +31,7 @@ class File:
 
     def read(self, at: int, n: int) -> bytes:
         if self._file is None:
-            if "://" in self.path and not self.path.startswith("file://"):
+            if "://" in self.path and not self.path.startswith("file:"):
                 from pyarrow import fs
 
                 system, inner = fs.FileSystem.from_uri(self.path)
@@ -53,7 +53,12 @@ class File:
 
 
 def local(path: str) -> str:
-    return path[5:].replace("///", "/", 1) if path.startswith("file:") else path
+    """The path in a mounted file system; containers are written in place, which object stores can't do."""
+    if path.startswith("file:"):
+        return path[5:].replace("///", "/", 1)
+    if "://" in path:
+        raise UnsupportedFeature(f"writing to {path}: a mounted folder is needed")
+    return path
 
 
 @dataclass

@@ -119,6 +119,13 @@ def test_modes(path):
         ArrayFile.open_rw(path + "x")
 
 
+def test_places(path):
+    ArrayFile.create(f"file://{path}").close()
+    assert ArrayFile.open(f"file://{path}").dataset_names() == []
+    with pytest.raises(errors.UnsupportedFeature):
+        ArrayFile.create("s3://bucket/a.h5")
+
+
 def test_chunks_grow_and_shrink(path):
     rows = np.arange(900 * 3).reshape(900, 3)
     with ArrayFile.create(path) as f:
