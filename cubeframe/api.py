@@ -17,7 +17,7 @@ from cubeframe.codec import builder as bd
 from cubeframe.codec import datatype as dt
 from cubeframe.codec import index as ix
 from cubeframe.codec import messages as ms
-from cubeframe.codec.container import Container, Dataset, local, open_container
+from cubeframe.codec.container import STREAMING, WRITING, Container, Dataset, local, open_container
 from cubeframe.errors import InvalidState, NotFound, OutOfBounds, TypeMismatch
 from cubeframe.filters import Pipeline, pipeline
 
@@ -121,12 +121,12 @@ class ArrayFile:
         refs["at"] += b.put(body) if texts else 0
         b.contiguous(bd.Spec(path, dt.VSTRING, (len(texts),)), b.put(refs.tobytes()) if texts else None)
 
-    def flush(self) -> None:
+    def flush(self, flags: int = 0) -> None:
         """Make what is written so far visible, and go on."""
         b = self._writer()
         keep = {p: d for p, d in self._open.items()}
         self._store()
-        b.finish()
+        b.finish(flags)
         self._b = bd.Builder(self.path, append=True)
         self._open = keep
 
@@ -333,6 +333,13 @@ class ArrayDataset:
             raise TypeMismatch(f"{kind} for elements of {self.element_size} bytes")
         return np.ascontiguousarray(x).view(kind)
 
+    def memmap(self) -> np.ndarray:
+        """A contiguous dataset as a read-only view of the file, without copying."""
+        c, d = self.file._reader(), self.old
+        if d.layout.kind != "contiguous" or d.layout.address is None or dt.np_dtype(d.type).shape:
+            raise InvalidState(f"{self.name} can't be mapped")
+        return np.memmap(local(c.file.path), self.dtype, "r", c.base + d.layout.address, self.shape)
+
     def read_strings(self) -> list[str]:
         c = self.file._reader()
         return dt.to_arrow(self.read_raw().reshape(-1), self.old.type, c.strings).to_pylist()
@@ -504,7 +511,8 @@ class StreamWriter:
             raise
 
     def flush(self) -> None:
-        self.file.flush()
+        """The superblock says that a writer is at work until ``close``; readers need not care."""
+        self.file.flush(WRITING | STREAMING)
 
     def close(self) -> None:
         self.file.close()

@@ -9,6 +9,7 @@ import pytest
 
 from cubeframe import errors
 from cubeframe.api import ArrayFile, StreamReader, StreamWriter
+from cubeframe.codec.container import open_container
 
 
 @pytest.fixture
@@ -92,6 +93,11 @@ def test_slices(path, chunk, filters):
         assert d.read_raw("f32").dtype == np.float32
         with pytest.raises(errors.TypeMismatch):
             d.read_raw("f64")
+        if chunk:
+            with pytest.raises(errors.InvalidState):
+                d.memmap()
+        else:
+            assert (d.memmap() == want).all()
         with pytest.raises(errors.OutOfBounds):
             d.read_slice([1], [1])
 
@@ -178,8 +184,11 @@ def test_stream_between_processes(path):
             seen += len(got)
             assert seen % 4 == 0
     assert r.dataset_shape("detector") == (120, 4, 4) and r.dataset_names() == ["detector"]
+    assert open_container(path).flags == 0
     w = StreamWriter(path)
     w.create_streaming_dataset("d", "i32", [2], "zstd:3")
+    w.flush()
+    assert open_container(path).flags == 5
     with pytest.raises(errors.InvalidState):
         w.append_frame("d", b"12")
     w.append_frame("d", np.array([1, 2]))
