@@ -105,14 +105,17 @@ FAR = 0.17
 WEAK = 7
 #: Chance that a pair at a similarity of 0.8 shares a variant; the number of segments follows.
 RECALL = 0.97
+#: Of the smallest ids of its large buckets a text is compared with so many, the smallest.
+HUBS = 16
 #: Bits in 64 of a bucket's two members that may differ for them to be candidates.
 SKETCH_FAR = 22
 
 
 def wide_shape(n: int) -> tuple[int, int, int]:
     """(segments, bits of each, words of 64 bits): segments are two bits longer than log2 of the
-    number of texts, so that few share a variant by chance, and as many as RECALL asks for."""
-    bits = max(10, math.ceil(math.log2(max(2, n)))) + 2
+    number of texts (22 bits up to a million), so that few share a variant by chance, and as many
+    as RECALL asks for."""
+    bits = max(20, math.ceil(math.log2(max(2, n)))) + 2
     share = 0.85**bits * (1 + 0.75 * bits * 0.15 / 0.85)  # no bit differs, or one of the weak ones
     segments = math.ceil(math.log(1 - RECALL) / math.log(1 - share))
     return segments, bits, -(-(segments * bits) // 64) + 1
@@ -164,8 +167,9 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
 
     Equal word sequences (ASCII case aside) are one text. Variants that two texts share make
     them a candidate if 64 further bits agree well enough; up to PAIR_CAP texts under a variant
-    are joined with each other, of more each with the smallest id; that is as many candidates as
-    members, and a group's texts meet under many other variants. Candidates are verified on all bits. Null and empty texts are one text. Rows with a null id are left
+    are joined with each other; of more, each with the smallest ids of such buckets, HUBS at most. A
+    group's texts meet under many variants, so this links them, but links within a large group may
+    be missed. Candidates are verified on all bits. Null and empty texts are one text. Rows with a null id are left
     out. An empty table gives no rows.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -208,7 +212,9 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     inner = few.select("key", "id", "s")
     inner = inner.alias("x").join(inner.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND bit_count(x.s ^ y.s) <= {SKETCH_FAR}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     some = low.union(high).union(both).union(inner)
-    many = members.where(F.col("n") > PAIR_CAP).where("id != a").select("a", F.col("id").alias("b"))
+    # a text has no more hubs than variants; near ones of a group share the smallest
+    hubs = members.where(F.col("n") > PAIR_CAP).where("id != a").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("a")), 1, HUBS).alias("hubs"))
+    many = hubs.select(F.explode("hubs").alias("a"), F.col("id").alias("b"))
     asked = materialize(pairs.union(some).union(many).distinct(), "candidates")
     held = prints.select("id", "fp")
     both = asked.join(held.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
@@ -229,7 +235,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
         order = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"] or ["doc_id"]))
         docs = known.withColumn("__nth", order).where("__nth = 1").drop("__nth").unionByName(null)
     gone = groups.where("id != component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,14 @@ def test_components(spark):
     assert common.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_release(spark):
+    kept = common.materialize(spark.range(5), "kept")
+    assert kept.count() == 5
+    common.release(spark)
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        kept.count()
+
+
 # --- 1 secrets ------------------------------------------------------------------------------------
 
 
