@@ -105,8 +105,6 @@ FAR = 0.17
 WEAK = 7
 #: Chance that a pair at a similarity of 0.8 shares a variant; the number of segments follows.
 RECALL = 0.97
-#: Of the smallest ids of its large buckets a text is compared with so many, the smallest.
-HUBS = 16
 #: Bits in 64 of a bucket's two members that may differ for them to be candidates.
 SKETCH_FAR = 22
 
@@ -167,9 +165,9 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
 
     Equal word sequences (ASCII case aside) are one text. Variants that two texts share make
     them a candidate if 64 further bits agree well enough; up to PAIR_CAP texts under a variant
-    are joined with each other; of more, each with the smallest ids of such buckets, HUBS at most. A
-    group's texts meet under many variants, so this links them, but links within a large group may
-    be missed. Candidates are verified on all bits. Null and empty texts are one text. Rows with a null id are left
+    are joined with each other; of more, each with the smallest id of its such buckets or, if that
+    isn't near, with the smallest ids of all of them. A group's texts meet under many variants, so
+    this links them, but links within a large group may be missed. Candidates are verified on all bits. Null and empty texts are one text. Rows with a null id are left
     out. An empty table gives no rows.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -212,14 +210,21 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     inner = few.select("key", "id", "s")
     inner = inner.alias("x").join(inner.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND bit_count(x.s ^ y.s) <= {SKETCH_FAR}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     some = low.union(high).union(both).union(inner)
-    # a text has no more hubs than variants; near ones of a group share the smallest
-    hubs = members.where(F.col("n") > PAIR_CAP).where("id != a").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("a")), 1, HUBS).alias("hubs"))
-    many = hubs.select(F.explode("hubs").alias("a"), F.col("id").alias("b"))
-    asked = materialize(pairs.union(some).union(many).distinct(), "candidates")
     held = prints.select("id", "fp")
-    both = asked.join(held.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
-    near = both.where(f"aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c) <= {int(FAR * 64 * words)}").select("a", "b")
-    roots = connected(near)
+
+    def near(asked: DataFrame) -> DataFrame:
+        both = asked.join(held.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
+        return both.where(f"aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c) <= {int(FAR * 64 * words)}").select("a", "b")
+
+    # a text's hubs are the smallest ids of its large buckets: it is compared with the smallest one,
+    # and with all others only if that isn't near
+    hubs = members.where(F.col("n") > PAIR_CAP).where("id != a")
+    first = hubs.groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b"))
+    linked = materialize(near(first), "hubs")
+    others = hubs.join(linked.select(F.col("b").alias("id")), "id", "left_anti").select("a", F.col("id").alias("b"))
+    asked = materialize(pairs.union(some).union(others).distinct(), "candidates")
+    links = near(asked).union(linked)
+    roots = connected(links)
     rooted = prints.join(roots, prints.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("component"))
     return rows.select("id", "h1", "h2").join(rooted, ["h1", "h2"]).select("id", "component")
 
