@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash: of each group of similar texts the smallest doc_id stays."""
+    """Near-duplicates: of each group of similar texts the smallest doc_id stays."""
     session.prepare(spark)
     return simhash.keep_one(docs).select(*COLUMNS)
 

@@ -11,7 +11,6 @@ bits of each other, so linking each to the smallest loses no link and emits no b
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,134 +95,137 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return rows.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-# --- Wide fingerprints: texts similar by shingles, not just by a bit or two -----------------
+# --- Texts similar by the shingles they share, not just by a bit or two ---------------------
+#
+# Texts of a Jaccard similarity of 0.8 or more share at least 0.8 of either's shingles. With all
+# shingles in one order, each of the two therefore has a shared one among its first
+# n - ceil(0.8 n) + 1: an equality join on these finds every such pair, whatever the order. The
+# order only decides how many others it finds, so common shingles come last. No fingerprint
+# takes part: bits estimate a similarity, and neither find all pairs nor refuse all others.
 
-#: Hamming share of two fingerprints up to which their texts are linked. Texts of Jaccard
-#: similarity 0.8 over five-word shingles differ in acos(2 * 0.8 / 1.8) / pi = 0.15 of the bits.
-FAR = 0.17
-#: Bits of a segment that get a wildcard variant: those nearest to a tie, where copies differ.
-WEAK = 7
-#: Chance that a pair at a similarity of 0.8 shares a variant; the number of segments follows.
-RECALL = 0.97
-#: Bits in 64 of a bucket's two members that may differ for them to be candidates.
-SKETCH_FAR = 22
+#: Texts, about, that shingles are counted in to rank them, and common shingles known by rank.
+RANK_TEXTS, RANKED = 1 << 14, 1 << 18
+#: Texts of one bucket that meet in a task of the last comparison.
+BLOCK = 1024
+#: Rounds in which open buckets get one more hub before all their open pairs are compared.
+HUB_ROUNDS = 4
 
+_LEAST = "CAST((4 * n + 4) DIV 5 AS INT)"
+#: SQL: whether texts x and y of ``n`` shingles, at most ``most`` of them shared with any other, can be similar.
+_CAN = "9 * least(x.most, y.most) >= 4 * (x.n + y.n)"
 
-def wide_shape(n: int) -> tuple[int, int, int]:
-    """(segments, bits of each, words of 64 bits): segments are two bits longer than log2 of the
-    number of texts (22 bits up to a million), so that few share a variant by chance, and as many
-    as RECALL asks for."""
-    bits = max(20, math.ceil(math.log2(max(2, n)))) + 2
-    share = 0.85**bits * (1 + 0.75 * bits * 0.15 / 0.85)  # no bit differs, or one of the weak ones
-    segments = math.ceil(math.log(1 - RECALL) / math.log(1 - share))
-    return segments, bits, -(-(segments * bits) // 64) + 1
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct 64-bit shingle hashes of a text, ascending."""
+    return np.unique(shingle_digests(text, width).view(">i8").ravel().astype(np.int64))
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
 
+def rarest(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of ``shingles`` by (count, hash); those not in ``common`` (ascending) count 0."""
+    seen = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        seen = np.where(common[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(seen, kind="stable")[: len(shingles) + (-4 * len(shingles)) // 5 + 1]]
 
-def margins(text: str | None, width: int, words: int) -> np.ndarray:
-    """For each of ``words`` * 64 bits, how many more shingles have it set than not."""
-    hashes = shingle_digests(text, width).view(">u8").ravel().astype(np.uint64)
-    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(hashes), 1024):
-        made = _mix(hashes[at : at + 1024, None] + steps)
-        ones += np.unpackbits(made.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return 2 * ones - len(hashes)
 
+def common_shingles(own: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of over two of about RANK_TEXTS texts, ascending, and their counts; at most RANKED, the most common."""
 
-def _packed(margin: np.ndarray) -> np.ndarray:
-    return np.packbits(margin > 0).view(">i8").astype(np.int64)
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *(shingle_set(t, width) for t in pdf["text"])])})
+
+    step = max(1, own.count() // RANK_TEXTS)
+    some = own.where(f"pmod(xxhash64(id), {step}) = 0").mapInPandas(shingled, "h long")
+    rows = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(RANKED).toPandas().sort_values("h")
+    return rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def weak_bits(margin: np.ndarray, segments: int, bits: int) -> bytes:
-    """Of each segment the WEAK bits nearest to a tie, a byte each."""
-    own = np.abs(margin[: segments * bits].reshape(segments, bits))
-    return np.argsort(own, axis=1, kind="stable")[:, :WEAK].astype(np.uint8).tobytes()
+def similar_pairs(asked: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """Of the pairs of ids ``asked`` (a, b) those whose texts in ``own`` (id, text) have a Jaccard similarity of 0.8, exactly."""
+    asked = materialize(asked.distinct(), "candidates")
 
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, width) for t in pdf["text"]]})
 
-def variant_keys(prints: np.ndarray, weak: np.ndarray, segments: int, bits: int) -> np.ndarray:
-    """(texts, keys): each segment as it is and with each of its weak bits blanked, as (segment, bit,
-    rest) in 64 bits. ``prints`` are packed fingerprints (texts, words), ``weak`` (texts, segments * WEAK)."""
-    n = len(prints)
-    set_ = np.unpackbits(prints.astype(">i8").view(np.uint8).reshape(n, -1), axis=1)[:, : segments * bits].reshape(n, segments, bits)
-    powers = np.int64(1) << np.arange(bits, dtype=np.int64)
-    value = (set_ * powers).sum(axis=2)
-    at = weak.reshape(n, segments, WEAK).astype(np.int64)
-    head = np.arange(segments, dtype=np.int64) << 8
-    plain = (head | 255) << 48 | value
-    blank = (head[:, None] | at) << 48 | value[:, :, None] & ~powers[at]
-    return np.concatenate([plain, blank.reshape(n, -1)], axis=1)
+    ids = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
+    held = materialize(own.join(ids, "id", "left_semi").mapInPandas(sets, "id long, s array<long>"), "sets")
+    both = asked.join(held.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+    both = both.where("5 * least(size(sa), size(sb)) >= 4 * greatest(size(sa), size(sb)) AND 9 * size(array_intersect(sa, sb)) >= 4 * (size(sa) + size(sb))")
+    return materialize(both.select("a", "b").distinct(), "links")
+
+
+def large_links(hot: DataFrame, links: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """``links`` and what is missing for the components of all similar pairs within the buckets of ``hot`` (key, id, n, most).
+
+    Two texts of one component need no comparison. In a bucket of several the others than its
+    largest are compared with one more hub, a few times; then all pairs of different components.
+    """
+    for nth in range(HUB_ROUNDS + 1):
+        roots = connected(links)
+        rooted = hot.join(roots, hot.id == roots.node, "left").select("key", "id", "n", "most", F.coalesce("root", "id").alias("root"))
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+        open_ = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.expr("max_by(root, struct(c, root))").alias("main"), F.max("c").alias("c")).where("k > 1")
+        open_ = materialize(open_, "open")
+        if open_.isEmpty():
+            break
+        rest = materialize(rooted.join(open_.select("key", "m", "main"), "key"), "rest")
+        if nth < HUB_ROUNDS and open_.agg(F.expr("sum((m - c) * m) > 8 * sum(m)")).first()[0]:
+            hubs = rest.where("root != main").groupBy("key").agg(F.expr("min(struct(id, n, most, root))").alias("x"))
+            asked = rest.alias("y").join(hubs, "key").where(f"x.root != y.root AND {_CAN}").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+            found = similar_pairs(asked, own, width)
+            if not found.isEmpty():
+                links = links.union(found)
+                continue
+        salts = f"CAST((m + {BLOCK - 1}) DIV {BLOCK} AS INT)"
+        x = rest.where("root != main").withColumn("salt", F.expr(f"CAST(pmod(xxhash64(id), {salts}) AS INT)"))
+        y = rest.withColumn("salt", F.explode(F.expr(f"sequence(0, {salts} - 1)")))
+        once = "(y.root = y.main OR x.id < y.id)"
+        asked = x.alias("x").join(y.alias("y"), F.expr(f"x.key = y.key AND x.salt = y.salt AND x.root != y.root AND {once} AND {_CAN}"))
+        links = links.union(similar_pairs(asked.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), own, width))
+        break
+    return links
 
 
 def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): rows whose texts are linked by wide fingerprints; component is the smallest id.
+    """(id, component): components of the rows whose texts have a Jaccard similarity of 0.8 over shingles; component is the smallest id.
 
-    Equal word sequences (ASCII case aside) are one text. Variants that two texts share make
-    them a candidate if 64 further bits agree well enough; up to PAIR_CAP texts under a variant
-    are joined with each other; of more, each with the smallest id of its such buckets or, if that
-    isn't near, with the smallest ids of all of them. A group's texts meet under many variants, so
-    this links them, but links within a large group may be missed. Candidates are verified on all bits. Null and empty texts are one text. Rows with a null id are left
+    Equal word sequences (ASCII case aside) are one text. Every similar pair shares one of its
+    rarest shingles; texts under one are a bucket. In a bucket of up to PAIR_CAP all pairs are
+    compared, in a larger one each text with the smallest id, then all pairs that this leaves in
+    different components: the result is that of comparing all pairs. Comparison is exact, on
+    64-bit hashes of shingles. Null and empty texts are one text. Rows with a null id are left
     out. An empty table gives no rows.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    segments, bits, words = wide_shape(own.count())
+    common, counts = common_shingles(own, width)
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for ident, text in zip(pdf["id"], pdf["text"], strict=True):
                 joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-                margin = margins(text, width, words)
-                out.append((ident, xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined, 2) - (1 << 63), _packed(margin), weak_bits(margin, segments, bits)))
-            yield pd.DataFrame(out, columns=["id", "h1", "h2", "fp", "weak"])
+                shingles = shingle_set(text, width)
+                out.append((ident, xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined, 2) - (1 << 63), len(shingles), rarest(shingles, common, counts)))
+            yield pd.DataFrame(out, columns=["id", "h1", "h2", "n", "rare"])
 
-    rows = materialize(own.mapInPandas(marked, "id long, h1 long, h2 long, fp array<long>, weak binary"), "marked")
+    rows = materialize(own.mapInPandas(marked, "id long, h1 long, h2 long, n int, rare array<long>"), "marked")
     # equal word sequences have equal marks: any row's will do
-    prints = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("weak").alias("weak")), "prints")
-
-    def varied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                fp = np.stack(pdf["fp"].to_numpy())
-                keys = variant_keys(fp, np.frombuffer(b"".join(pdf["weak"]), np.uint8), segments, bits)
-                many = keys.shape[1]
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), many), "s": np.repeat(fp[:, -1], many), "key": keys.ravel()})
-
-    variants = spread(prints.select("id", "fp", "weak")).mapInPandas(varied, "id long, s long, key long")
-    buckets = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.expr("bit_xor(s)").alias("x"))
-    buckets = materialize(buckets.where(f"n > 2 OR (n = 2 AND bit_count(x) <= {SKETCH_FAR})"), "shared")
-    pairs = buckets.where("n = 2").select("a", "b")
-    members = materialize(variants.select("key", "id").join(buckets.where("n > 2").select("key", "n", "a", "b"), "key"), "bucketed")
-    sketches = prints.select("id", F.element_at("fp", -1).alias("s"))
-    few = materialize(members.where(F.col("n") <= PAIR_CAP).join(sketches, "id"), "few")
-    ends = few.where("id = a").select("key", F.col("s").alias("sa")).join(few.where("id = b").select("key", F.col("s").alias("sb")), "key")
-    few = few.where("id != a AND id != b").join(ends, "key")
-    # the smallest and largest id meet all, then the others each other
-    low = few.where(f"bit_count(s ^ sa) <= {SKETCH_FAR}").select("a", F.col("id").alias("b"))
-    high = few.where(f"bit_count(s ^ sb) <= {SKETCH_FAR}").select(F.col("id").alias("a"), "b")
-    both = ends.where(f"bit_count(sa ^ sb) <= {SKETCH_FAR}").select("key").join(members.where("id = a").select("key", "a", "b"), "key").select("a", "b")
-    inner = few.select("key", "id", "s")
-    inner = inner.alias("x").join(inner.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND bit_count(x.s ^ y.s) <= {SKETCH_FAR}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    some = low.union(high).union(both).union(inner)
-    held = prints.select("id", "fp")
-
-    def near(asked: DataFrame) -> DataFrame:
-        both = asked.join(held.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
-        return both.where(f"aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c) <= {int(FAR * 64 * words)}").select("a", "b")
-
-    # a text's hubs are the smallest ids of its large buckets: it is compared with the smallest one,
-    # and with all others only if that isn't near
-    hubs = members.where(F.col("n") > PAIR_CAP).where("id != a")
-    first = hubs.groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b"))
-    linked = materialize(near(first), "hubs")
-    others = hubs.join(linked.select(F.col("b").alias("id")), "id", "left_anti").select("a", F.col("id").alias("b"))
-    asked = materialize(pairs.union(some).union(others).distinct(), "candidates")
-    links = near(asked).union(linked)
+    prints = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("rare").alias("rare")), "prints")
+    variants = prints.select("id", "n", F.explode("rare").alias("key"))
+    buckets = materialize(variants.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1"), "shared")
+    members = materialize(variants.join(buckets, "key"), "bucketed")
+    # a rare shingle without a bucket is shared with no text
+    texts = materialize(members.groupBy("id", "n").agg(F.expr(f"CAST({_LEAST} - 1 + count(*) AS INT)").alias("most")), "texts")
+    members = materialize(members.join(texts, ["id", "n"]), "members")
+    few, hot = members.where(F.col("m") <= PAIR_CAP), members.where(F.col("m") > PAIR_CAP)
+    few = few.select("key", "id", "n", "most")
+    some = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND {_CAN}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    stars = hot.where("id != low").select("id", "n", "most", "low").distinct().alias("y")
+    stars = stars.join(texts.alias("x"), F.expr(f"x.id = y.low AND {_CAN}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    links = large_links(hot.select("key", "id", "n", "most"), similar_pairs(some.union(stars), own, width), own, width)
     roots = connected(links)
     rooted = prints.join(roots, prints.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("component"))
     return rows.select("id", "h1", "h2").join(rooted, ["h1", "h2"]).select("id", "component")

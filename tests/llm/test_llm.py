@@ -331,6 +331,35 @@ def test_similar_groups(spark, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def jaccard_components(texts, width=5):
+    """Smallest id of each text's component over all pairs of a Jaccard similarity of 0.8, and the similar pairs."""
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in map(str.split, texts)]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    return components(pairs, range(len(texts))), pairs, sets
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 4])
+def test_large_groups(spark, monkeypatch, block):
+    """Late versions of a text edited on and on, and sub-families of one template far from the smallest id: no link is lost."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(21)
+    words, texts = prose(rng, 200).split(), []
+    for i in range(60):  # each version is like the one before; the first and the last share little
+        words[(i * 37) % 196 : (i * 37) % 196 + 4] = [f"v{i}x{k}" for k in range(4)]
+        texts.append(" ".join(words))
+    template = prose(rng, 200).split()
+    for family in range(4):  # 0.15 of a family's shingles are its own
+        base = template[:170] + [f"f{family}w{k}" for k in range(30)]
+        for i in range(15):
+            edited = list(base)
+            edited[int(rng.integers(170))] = f"e{family}x{i}"
+            texts.append(" ".join(edited))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    want, _, _ = jaccard_components(texts)
+    assert {r.id: r.component for r in simhash.similar_groups(docs(spark, texts)).collect()} == want
+
+
 # --- 6 chat ---------------------------------------------------------------------------------------------------
 
 
