@@ -360,6 +360,24 @@ def test_large_groups(spark, monkeypatch, block):
     assert {r.id: r.component for r in simhash.similar_groups(docs(spark, texts)).collect()} == want
 
 
+def edited_pairs(rng, many, edits):
+    """Pairs of texts of 180 shingles, ``edits`` * 5 of which differ: similarities of 0.8 for four edits, 0.756 for five."""
+    texts = []
+    for i in range(many):
+        words = [f"w{i}x{k}" for k in rng.permutation(10**6)[:184]]
+        other = list(words)
+        for k in range(edits):
+            other[8 + k * 35] = f"o{i}x{k}"
+        texts += [" ".join(words), " ".join(other)]
+    return texts
+
+
+def test_unlike_texts_stay(spark):
+    """At a similarity of 155 to 205 nothing is linked, however near the texts are to the bound."""
+    frame = docs(spark, edited_pairs(np.random.default_rng(3), 150, 5))
+    assert simhash.keep_one(frame).count() == 300
+
+
 # --- 6 chat ---------------------------------------------------------------------------------------------------
 
 
