@@ -378,6 +378,15 @@ def test_unlike_texts_stay(spark):
     assert simhash.keep_one(frame).count() == 300
 
 
+def test_recall_at_the_bound(spark):
+    """Each pair at a similarity of exactly 0.8 is linked."""
+    texts = edited_pairs(np.random.default_rng(4), 150, 4)
+    pairs = jaccard_components(texts)[1]
+    assert len(pairs) == 150
+    got = {r.id: r.component for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert [(a, b) for a, b in pairs if got[a] != got[b]] == []
+
+
 # --- 6 chat ---------------------------------------------------------------------------------------------------
 
 
