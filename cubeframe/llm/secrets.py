@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cubeframe.llm.common import table
 
-#: Rules by name, first fit wins; each is matched against a whole word stripped of quotes.
+#: Rules by name, first fit wins; each is matched against a part of a word stripped of the signs around it.
 RULES = (
     ("aws_access_key", r"^(?:AKIA|ASIA|AGPA|AROA)[A-Z0-9]{16}$"),
     ("github_token", r"^gh[pousr]_[A-Za-z0-9]{36,}$"),
@@ -27,8 +27,13 @@ RULES = (
     ("hex_string", r"^[0-9a-f]{24,}$"),
     ("opaque_string", r"^(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}$"),
 )
-#: A cheap first look at a word: a long run of such characters.
-_LOOK = r"[A-Za-z0-9+/_=.:-]{14,}"
+#: A cheap first look at a word, which all that RULES accept passes: a long run of such characters, or a name that assigns.
+_LOOK = r"[A-Za-z0-9+/_=.:-]{14,}|(?i:pass|secret|token|api_?key|auth|access_?key|credential)[A-Za-z0-9_.-]*[\"']*[=:]"
+#: Quotes beside the sign of an assignment, and where a word's parts end: at quotes and before further assignments.
+_QUOTES = r"[\"']+(?=[=:])|(?<=[=:])[\"']+"
+_PARTS = r"[\"']+|[&,;?{(\[|]+(?=[A-Za-z_][A-Za-z0-9_.-]*[=:])"
+#: What RULES other than 'assigned' accept, inside a part that none accepts as a whole.
+_INSIDE = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA|AGPA|AROA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|[0-9a-f]{24,})(?![A-Za-z0-9])|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Names that announce a secret, and words that announce something harmless.
 ANNOUNCE = r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api.?key|access.?key|auth|bearer|credential|private)"
 HARMLESS = r"(?i)(?:^|[^a-z])(?:sha-?\d*|md5|checksum|commit|revision|digest|etag|uuid|guid|hash|version|example|sample|dummy|placeholder|your|isbn|build|integrity)(?:$|[^a-z])"
@@ -85,19 +90,33 @@ def _features(word: str, secret: str, before: str, after: str) -> list[str]:
     ]
 
 
+def _rule(word: str, secret: str) -> str:
+    """SQL: the first rule that fits, or null."""
+    return f"CASE {' '.join(f'WHEN {word if name == "assigned" else secret} RLIKE {_quoted(pattern)} THEN {_quoted(name)}' for name, pattern in RULES)} END"
+
+
+def _parts(word: str) -> str:
+    """SQL: array of struct(word, secret, rule) of what rules accept in a word: its parts, matches inside the others, all of it if its first part is none."""
+    unit = lambda nth, x: f"element_at(transform(transform(array({_bare(x)}), b -> named_struct('nth', {nth}, 'word', b, 'secret', {_secret('b')})), u -> named_struct('nth', u.nth, 'word', u.word, 'secret', u.secret, 'rule', {_rule('u.word', 'u.secret')})), 1)"
+    split = f"filter(split(regexp_replace({word}, {_quoted(_QUOTES)}, ''), {_quoted(_PARTS)}), x -> length(x) >= 8)"
+    units = f"transform({split}, (x, nth) -> {unit('nth', 'x')})"
+    whole = f"filter(array({unit('-1', word)}), u -> u.rule IS NOT NULL AND NOT exists(us, v -> v.nth = 0 AND v.rule IS NOT NULL))"
+    inside = f"flatten(transform(filter(us, u -> u.rule IS NULL), u -> transform(regexp_extract_all(u.word, {_quoted(_INSIDE)}, 0), s -> named_struct('nth', u.nth, 'word', u.word, 'secret', s, 'rule', {_rule("''", 's')}))))"
+    # quotes taken out of a part are in the text: what isn't there can't be masked
+    return f"filter(element_at(transform(array({units}), us -> concat({whole}, us, {inside})), 1), u -> u.rule IS NOT NULL AND contains({word}, u.secret))"
+
+
 def findings(text: str) -> str:
-    """SQL: array of struct(at, word, secret, before, after) of a text's candidate words, in text order."""
-    looks = f"length(ws[i]) >= 16 AND ws[i] RLIKE '[0-9A-Z_]' AND ws[i] RLIKE {_quoted(_LOOK)}"
-    found = f"transform(filter(sequence(0, size(ws) - 1), i -> {looks}), i -> named_struct('at', i, 'word', {_bare('ws[i]')}, 'secret', {_secret(_bare('ws[i]'))}, 'before', concat_ws(' ', get(ws, i - 2), get(ws, i - 1)), 'after', coalesce(get(ws, i + 1), '')))"
+    """SQL: array of struct(at, word, secret, rule, before, after) of what rules propose in a text, in the order of its words."""
+    looks = f"length(ws[i]) >= 13 AND ws[i] RLIKE {_quoted(_LOOK)}"
+    found = f"flatten(transform(filter(sequence(0, size(ws) - 1), i -> {looks}), i -> transform({_parts('ws[i]')}, p -> named_struct('at', i, 'word', p.word, 'secret', p.secret, 'rule', p.rule, 'before', concat_ws(' ', get(ws, i - 2), get(ws, i - 1)), 'after', coalesce(get(ws, i + 1), '')))))"
     # the array of one split text keeps it from being split again for each use
     return rf"element_at(transform(array(split({text}, '[\\x20\\x09-\\x0D]+')), ws -> {found}), 1)"
 
 
 def _named(found: str) -> str:
-    """SQL: the findings that a rule proposes, with their features."""
-    rules = " ".join(f"WHEN {'f.word' if name == 'assigned' else 'f.secret'} RLIKE {_quoted(pattern)} THEN '{name}'" for name, pattern in RULES)
-    ruled = f"filter(transform({found}, f -> named_struct('at', f.at, 'word', f.word, 'secret', f.secret, 'before', f.before, 'after', f.after, 'rule', CASE {rules} END)), f -> f.rule IS NOT NULL)"
-    return f"transform({ruled}, f -> named_struct('at', f.at, 'secret', f.secret, 'rule', f.rule, 'x', array({', '.join(_features('f.word', 'f.secret', 'f.before', 'f.after'))})))"
+    """SQL: the findings with their features."""
+    return f"transform({found}, f -> named_struct('at', f.at, 'secret', f.secret, 'rule', f.rule, 'x', array({', '.join(_features('f.word', 'f.secret', 'f.before', 'f.after'))})))"
 
 
 def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
@@ -191,7 +210,7 @@ def train(labelled: DataFrame) -> str:
 
 
 def scan(docs: DataFrame, forest: str, text_col: str = "text") -> Column:
-    """Array of struct(at, secret, rule, probability): every proposed finding of a text, null for a null text."""
+    """Array of struct(at, secret, rule, probability): every proposed finding of a text, several of a word too; null for a null text."""
     proposed = f"transform({_named(findings(f'`{text_col}`'))}, f -> named_struct('at', f.at, 'secret', f.secret, 'rule', f.rule, 'probability', element_at(transform(array(f.x), v -> {forest}), 1)))"
     return F.expr(proposed)
 
@@ -208,7 +227,8 @@ def find_secrets(docs: DataFrame, forest: str, id_col: str = "doc_id", text_col:
 
 def redact(docs: DataFrame, forest: str, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each confirmed secret replaced by ``mask`` everywhere in its text; all rows and columns stay."""
-    confirmed = f"array_distinct(transform(filter(__found, f -> f.probability >= {THRESHOLD}D), f -> f.secret))"
+    # the longest first: one may be a part of another
+    confirmed = f"array_sort(array_distinct(transform(filter(__found, f -> f.probability >= {THRESHOLD}D), f -> f.secret)), (x, y) -> length(y) - length(x))"
     masked = docs.withColumn("__found", scan(docs, forest, text_col)).withColumn(text_col, F.expr(f"IF(coalesce(size(__found), 0) > 0, aggregate({confirmed}, `{text_col}`, (t, s) -> replace(t, s, '{mask}')), `{text_col}`)"))
     return masked.drop("__found")
 
