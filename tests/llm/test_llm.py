@@ -412,6 +412,17 @@ def test_recall_at_the_bound(spark):
     assert [(a, b) for a, b in pairs if got[a] != got[b]] == []
 
 
+def test_groups_do_not_follow_the_size(spark):
+    """Texts near the bound have the same groups alone and in a table of over 2^20 rows, of which only a part is ranked."""
+    texts = edited_pairs(np.random.default_rng(6), 40, 4) + edited_pairs(np.random.default_rng(7), 40, 5)[::-1]
+    alone = docs(spark, texts).select("doc_id", "text")
+    others = spark.range(1000, 1000 + (1 << 20)).selectExpr("id AS doc_id", "concat('only ', id) AS text")
+    small = {r.id: r.component for r in simhash.similar_groups(alone).collect()}
+    large = simhash.similar_groups(alone.union(others))
+    assert {r.id: r.component for r in large.where("id < 1000").collect()} == small
+    assert large.where("id >= 1000 AND id != component").count() == 0
+
+
 # --- 6 chat ---------------------------------------------------------------------------------------------------
 
 
