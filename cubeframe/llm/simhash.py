@@ -43,7 +43,10 @@ def shingle_digests(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int) -> int:
     """The signed 64-bit SimHash; a bit is 1 if set in over half of the shingles, no words give 0."""
-    digests = shingle_digests(text, width)
+    return _majority(shingle_digests(text, width))
+
+
+def _majority(digests: np.ndarray) -> int:
     if not len(digests):
         return 0
     ones = np.zeros(64, np.int64)
@@ -97,18 +100,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
 # --- Texts similar by the shingles they share, not just by a bit or two ---------------------
 #
-# Texts of a Jaccard similarity of 0.8 or more share at least 0.8 of either's shingles. With all
-# shingles in one order, each of the two therefore has a shared one among its first
-# n - ceil(0.8 n) + 1: an equality join on these finds every such pair, whatever the order. The
-# order only decides how many others it finds, so common shingles come last. No fingerprint
-# takes part: bits estimate a similarity, and neither find all pairs nor refuse all others.
+# Signatures of two bits find the nearest texts of a Jaccard similarity of 0.8, not all. What
+# they miss is found exactly: similar texts share at least 0.8 of either's shingles, so with all
+# shingles in one order, each of the two has a shared one among its first n - ceil(0.8 n) + 1,
+# and an equality join on these finds every such pair, whatever the order. The order only
+# decides how many others it finds, so common shingles come last.
 
-#: Texts, about, that shingles are counted in to rank them, and common shingles known by rank.
+#: Texts, about, that shingles are counted in to rank them, and common shingles known by rank: neither changes a result.
 RANK_TEXTS, RANKED = 1 << 14, 1 << 18
-#: Texts of one bucket that meet in a task of the last comparison.
-BLOCK = 1024
-#: Rounds in which open buckets get one more hub before all their open pairs are compared.
+#: Texts and shingles, about, of one block of a large bucket.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Rounds in which buckets of several blocks get one more hub before their open pairs are compared.
 HUB_ROUNDS = 4
+#: Shingles of a block counted at once.
+WIDE = 4096
 
 _LEAST = "CAST((4 * n + 4) DIV 5 AS INT)"
 #: SQL: whether texts x and y of ``n`` shingles, at most ``most`` of them shared with any other, can be similar.
@@ -117,7 +122,11 @@ _CAN = "9 * least(x.most, y.most) >= 4 * (x.n + y.n)"
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The distinct 64-bit shingle hashes of a text, ascending."""
-    return np.unique(shingle_digests(text, width).view(">i8").ravel().astype(np.int64))
+    return _distinct(shingle_digests(text, width))
+
+
+def _distinct(digests: np.ndarray) -> np.ndarray:
+    return np.unique(digests.view(">i8").ravel().astype(np.int64))
 
 
 def rarest(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -142,59 +151,122 @@ def common_shingles(own: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     return rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def similar_pairs(asked: DataFrame, own: DataFrame, width: int) -> DataFrame:
-    """Of the pairs of ids ``asked`` (a, b) those whose texts in ``own`` (id, text) have a Jaccard similarity of 0.8, exactly."""
-    asked = materialize(asked.distinct(), "candidates")
+def _sets(own: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, s): the shingle sets of the texts in ``own`` (id, text) whose id is in ``ids``."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, width) for t in pdf["text"]]})
 
-    ids = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
-    held = materialize(own.join(ids, "id", "left_semi").mapInPandas(sets, "id long, s array<long>"), "sets")
+    return materialize(own.join(ids.distinct(), "id", "left_semi").mapInPandas(sets, "id long, s array<long>"), "sets").dropDuplicates(["id"])
+
+
+def similar_pairs(asked: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """Of the pairs of ids ``asked`` (a, b) those whose texts in ``own`` (id, text) have a Jaccard similarity of 0.8, exactly."""
+    asked = materialize(asked.distinct(), "candidates")
+    held = _sets(own, asked.select(F.col("a").alias("id")).union(asked.select("b")), width)
     both = asked.join(held.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     both = both.where("5 * least(size(sa), size(sb)) >= 4 * greatest(size(sa), size(sb)) AND 9 * size(array_intersect(sa, sb)) >= 4 * (size(sa) + size(sb))")
-    return materialize(both.select("a", "b").distinct(), "links")
+    return materialize(both.select("a", "b"), "links")
+
+
+def forest_of_similar(sets: list[np.ndarray], roots: np.ndarray, asks: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (asking, any) of places whose sets have a Jaccard similarity of 0.8 and that join
+    different roots: as many as it takes to join all roots that such pairs join.
+
+    Shared shingles are counted by products of 0/1 matrices over WIDE shingles at a time; those of
+    one text alone are left out.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    renamed = np.cumsum(times > 1) - 1
+    row, token = np.repeat(np.arange(len(sets)), n)[times[token] > 1], renamed[token[times[token] > 1]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    who = np.flatnonzero(asks)
+    shared = np.zeros((len(who), len(sets)), np.float32)  # whole numbers, exact below 2^24
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, WIDE):
+        a, b = np.searchsorted(token, [low, low + WIDE])
+        held = np.zeros((len(sets), WIDE), np.float32)
+        held[row[a:b], token[a:b] - low] = 1
+        shared += held[who] @ held.T
+    found, parent = [], {int(r): int(r) for r in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(who.tolist()):
+        for y in np.flatnonzero(9 * shared[i].astype(np.int64) >= 4 * (n[x] + n)).tolist():
+            a, b = find(int(roots[x])), find(int(roots[y]))
+            if a != b:
+                parent[a] = b
+                found.append((x, y))
+    return found
+
+
+def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links within the rows (id, root, asks, s) of one pair of blocks."""
+    pdf = pdf.drop_duplicates("id")
+    ids = pdf["id"].to_numpy(np.int64)
+    found = forest_of_similar(list(pdf["s"]), pdf["root"].to_numpy(np.int64), pdf["asks"].to_numpy(bool))
+    return pd.DataFrame([(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found], columns=["a", "b"]).astype("int64")
 
 
 def large_links(hot: DataFrame, links: DataFrame, own: DataFrame, width: int) -> DataFrame:
     """``links`` and what is missing for the components of all similar pairs within the buckets of ``hot`` (key, id, n, most).
 
     Two texts of one component need no comparison. In a bucket of several the others than its
-    largest are compared with one more hub, a few times; then all pairs of different components.
+    largest are compared with all: a bucket is dealt into blocks, and two blocks meet in one
+    task, which gives out links only, not pairs. Buckets of several blocks are first compared
+    with one more hub, a few times, which mostly leaves few others.
     """
     for nth in range(HUB_ROUNDS + 1):
         roots = connected(links)
-        rooted = hot.join(roots, hot.id == roots.node, "left").select("key", "id", "n", "most", F.coalesce("root", "id").alias("root"))
-        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("id").alias("low"))
-        open_ = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.expr("max_by(root, struct(c, root))").alias("main"), F.max("c").alias("c")).where("k > 1")
-        open_ = materialize(open_, "open")
-        if open_.isEmpty():
+        rooted = materialize(hot.join(roots, hot.id == roots.node, "left").select("key", "id", "n", "most", F.coalesce("root", "id").alias("root")), "rooted")
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+        open_ = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum("w").alias("w"), F.expr("max_by(root, struct(c, root))").alias("main")).where("k > 1")
+        blocks = F.greatest(F.expr(f"(m + {BLOCK - 1}) DIV {BLOCK}"), F.expr(f"(w + {BLOCK_SHINGLES - 1}) DIV {BLOCK_SHINGLES}")).cast("int")
+        open_ = materialize(open_.select("key", "main", blocks.alias("blocks")), "open")
+        most = open_.agg(F.max("blocks")).first()[0]
+        if most is None:
+            return links
+        rest = rooted.join(open_, "key").withColumn("asks", F.expr("root != main"))
+        if most == 1 or nth == HUB_ROUNDS:
+            break
+        rest = materialize(rest.where("blocks > 1"), "rest")
+        hubs = rest.where("asks").groupBy("key").agg(F.expr("min(struct(id, n, most, root))").alias("x"))
+        asked = rest.alias("y").join(hubs, "key").where(f"x.root != y.root AND {_CAN}").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        found = similar_pairs(asked, own, width)
+        if found.isEmpty():
             break
-        rest = materialize(rooted.join(open_.select("key", "m", "main"), "key"), "rest")
-        if nth < HUB_ROUNDS and open_.agg(F.expr("sum((m - c) * m) > 8 * sum(m)")).first()[0]:
-            hubs = rest.where("root != main").groupBy("key").agg(F.expr("min(struct(id, n, most, root))").alias("x"))
-            asked = rest.alias("y").join(hubs, "key").where(f"x.root != y.root AND {_CAN}").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-            found = similar_pairs(asked, own, width)
-            if not found.isEmpty():
-                links = links.union(found)
-                continue
-        salts = f"CAST((m + {BLOCK - 1}) DIV {BLOCK} AS INT)"
-        x = rest.where("root != main").withColumn("salt", F.expr(f"CAST(pmod(xxhash64(id), {salts}) AS INT)"))
-        y = rest.withColumn("salt", F.explode(F.expr(f"sequence(0, {salts} - 1)")))
-        once = "(y.root = y.main OR x.id < y.id)"
-        asked = x.alias("x").join(y.alias("y"), F.expr(f"x.key = y.key AND x.salt = y.salt AND x.root != y.root AND {once} AND {_CAN}"))
-        links = links.union(similar_pairs(asked.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), own, width))
-        break
-    return links
+        links = links.union(found)
+    rest = rest if most == 1 else rooted.join(open_, "key").withColumn("asks", F.expr("root != main"))
+    rest = rest.withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "asks")
+    rest = materialize(rest, "blocks")
+    met = rest.join(_sets(own, rest.select("id"), width), "id").groupBy("key", "i", "j").applyInPandas(_compare_block, "a long, b long")
+    return links.union(materialize(met.distinct(), "found"))
+
+
+def signature_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs of ids (a, b) of ``prints`` (id, fp) that deletion-variant signatures link: one for each two fingerprints, each id with the smallest of its own."""
+    least = materialize(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("m")), "distinct")
+    alike = prints.join(least.where("m > 1"), "fp").where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    near = links(least.select("fp"))
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    return alike.union(near.select(F.least("x", "y"), F.greatest("x", "y")))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): components of the rows whose texts have a Jaccard similarity of 0.8 over shingles; component is the smallest id.
 
-    Equal word sequences (ASCII case aside) are one text. Every similar pair shares one of its
-    rarest shingles; texts under one are a bucket. In a bucket of up to PAIR_CAP all pairs are
-    compared, in a larger one each text with the smallest id, then all pairs that this leaves in
+    Equal word sequences (ASCII case aside) are one text. Candidates come from deletion-variant
+    signatures of the texts' SimHash, and from their rarest shingles, of which every similar pair
+    shares one; texts under one are a bucket. In a bucket of up to PAIR_CAP all pairs are
+    candidates, in a larger one each text with the smallest id, then all that this leaves in
     different components: the result is that of comparing all pairs. Comparison is exact, on
     64-bit hashes of shingles. Null and empty texts are one text. Rows with a null id are left
     out. An empty table gives no rows.
@@ -207,13 +279,15 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
             out = []
             for ident, text in zip(pdf["id"], pdf["text"], strict=True):
                 joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-                shingles = shingle_set(text, width)
-                out.append((ident, xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined, 2) - (1 << 63), len(shingles), rarest(shingles, common, counts)))
-            yield pd.DataFrame(out, columns=["id", "h1", "h2", "n", "rare"])
+                digests = shingle_digests(text, width)
+                shingles = _distinct(digests)
+                out.append((ident, xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined, 2) - (1 << 63), _majority(digests), len(shingles), rarest(shingles, common, counts)))
+            yield pd.DataFrame(out, columns=["id", "h1", "h2", "fp", "n", "rare"])
 
-    rows = materialize(own.mapInPandas(marked, "id long, h1 long, h2 long, n int, rare array<long>"), "marked")
+    rows = materialize(own.mapInPandas(marked, "id long, h1 long, h2 long, fp long, n int, rare array<long>"), "marked")
     # equal word sequences have equal marks: any row's will do
-    prints = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("rare").alias("rare")), "prints")
+    prints = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("rare").alias("rare"))
+    prints = materialize(prints, "prints")
     variants = prints.select("id", "n", F.explode("rare").alias("key"))
     buckets = materialize(variants.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1"), "shared")
     members = materialize(variants.join(buckets, "key"), "bucketed")
@@ -225,8 +299,9 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     some = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND {_CAN}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     stars = hot.where("id != low").select("id", "n", "most", "low").distinct().alias("y")
     stars = stars.join(texts.alias("x"), F.expr(f"x.id = y.low AND {_CAN}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    links = large_links(hot.select("key", "id", "n", "most"), similar_pairs(some.union(stars), own, width), own, width)
-    roots = connected(links)
+    asked = some.union(stars).union(signature_pairs(prints.select("id", "fp")))
+    links_ = large_links(hot.select("key", "id", "n", "most"), similar_pairs(asked, own, width), own, width)
+    roots = connected(links_)
     rooted = prints.join(roots, prints.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("component"))
     return rows.select("id", "h1", "h2").join(rooted, ["h1", "h2"]).select("id", "component")
 
