@@ -151,20 +151,31 @@ def common_shingles(own: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     return rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """A bitmap of 4 bits a shingle or more, a power of two; a bit says whether an odd number of shingles fall on it.
+
+    Two sets differ in at least as many shingles as their bitmaps in bits; halves fold by exclusive or.
+    """
+    size = max(64, 1 << int(4 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    places = (shingles.view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=size).astype(np.uint8) & 1).tobytes()
+
+
 def _sets(own: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, s): the shingle sets of the texts in ``own`` (id, text) whose id is in ``ids``."""
+    """(id, s, bits): the shingle sets and their parity bits of the texts in ``own`` (id, text) whose id is in ``ids``."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, width) for t in pdf["text"]]})
+            made = [shingle_set(t, width) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "s": made, "bits": [parity_bits(x) for x in made]})
 
-    return materialize(own.join(ids.distinct(), "id", "left_semi").mapInPandas(sets, "id long, s array<long>"), "sets").dropDuplicates(["id"])
+    return materialize(own.join(ids.distinct(), "id", "left_semi").mapInPandas(sets, "id long, s array<long>, bits binary"), "sets").dropDuplicates(["id"])
 
 
 def similar_pairs(asked: DataFrame, own: DataFrame, width: int) -> DataFrame:
     """Of the pairs of ids ``asked`` (a, b) those whose texts in ``own`` (id, text) have a Jaccard similarity of 0.8, exactly."""
     asked = materialize(asked.distinct(), "candidates")
-    held = _sets(own, asked.select(F.col("a").alias("id")).union(asked.select("b")), width)
+    held = _sets(own, asked.select(F.col("a").alias("id")).union(asked.select("b")), width).select("id", "s")
     both = asked.join(held.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     both = both.where("5 * least(size(sa), size(sb)) >= 4 * greatest(size(sa), size(sb)) AND 9 * size(array_intersect(sa, sb)) >= 4 * (size(sa) + size(sb))")
     return materialize(both.select("a", "b"), "links")
@@ -207,6 +218,34 @@ def forest_of_similar(sets: list[np.ndarray], roots: np.ndarray, asks: np.ndarra
     return found
 
 
+def possible_rows(bits: list[bytes], n: np.ndarray, roots: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """Marks of the sets (by their parity bits and sizes) that may be similar to one of another root, either of them asking."""
+    sizes = np.array([len(x) for x in bits])
+    marks = np.zeros(len(bits), bool)
+    for size in np.unique(sizes):
+        # sets of a similarity of 0.8 have bitmaps alike in size, or one twice as large
+        own = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+        packed = [np.frombuffer(bits[i], np.uint8) for i in own]
+        packed = np.stack([x if len(x) == size else x[:size] ^ x[size:] for x in packed])
+        who = np.flatnonzero(asks[own])
+        differ = np.zeros((len(who), len(own)), np.float32)
+        for low in range(0, size, WIDE // 8):
+            held = np.unpackbits(packed[:, low : low + WIDE // 8], axis=1).astype(np.float32)
+            ones = held.sum(axis=1)
+            differ += ones[who, None] + ones[None, :] - 2 * (held[who] @ held.T)
+        near = (9 * differ <= n[own][who, None] + n[own][None, :]) & (roots[own][who, None] != roots[own][None, :])
+        marks[own[who[near.any(axis=1)]]] = True
+        marks[own[near.any(axis=0)]] = True
+    return marks
+
+
+def _possible_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows (key, i, j, id) of one pair of blocks that are worth comparing."""
+    pdf = pdf.drop_duplicates("id")
+    marks = possible_rows(list(pdf["bits"]), pdf["n"].to_numpy(np.int64), pdf["root"].to_numpy(np.int64), pdf["asks"].to_numpy(bool))
+    return pdf.loc[marks, ["key", "i", "j", "id"]]
+
+
 def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links within the rows (id, root, asks, s) of one pair of blocks."""
     pdf = pdf.drop_duplicates("id")
@@ -220,8 +259,9 @@ def large_links(hot: DataFrame, links: DataFrame, own: DataFrame, width: int) ->
 
     Two texts of one component need no comparison. In a bucket of several the others than its
     largest are compared with all: a bucket is dealt into blocks, and two blocks meet in one
-    task, which gives out links only, not pairs. Buckets of several blocks are first compared
-    with one more hub, a few times, which mostly leaves few others.
+    task, which gives out links only, not pairs. There texts first meet as parity bits, and as
+    shingle sets only if these allow a similarity of 0.8. Buckets of several blocks are before
+    compared with one more hub, a few times, which mostly leaves few others.
     """
     for nth in range(HUB_ROUNDS + 1):
         roots = connected(links)
@@ -245,9 +285,12 @@ def large_links(hot: DataFrame, links: DataFrame, own: DataFrame, width: int) ->
         links = links.union(found)
     rest = rest if most == 1 else rooted.join(open_, "key").withColumn("asks", F.expr("root != main"))
     rest = rest.withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "asks")
+    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "root", "asks")
     rest = materialize(rest, "blocks")
-    met = rest.join(_sets(own, rest.select("id"), width), "id").groupBy("key", "i", "j").applyInPandas(_compare_block, "a long, b long")
+    held = _sets(own, rest.select("id"), width)
+    possible = rest.join(held.select("id", "bits"), "id").groupBy("key", "i", "j").applyInPandas(_possible_in_block, "key long, i int, j int, id long")
+    rest = materialize(rest.join(possible, ["key", "i", "j", "id"], "left_semi"), "possible")
+    met = rest.join(held.select("id", "s"), "id").groupBy("key", "i", "j").applyInPandas(_compare_block, "a long, b long")
     return links.union(materialize(met.distinct(), "found"))
 
 

@@ -385,6 +385,27 @@ def test_large_groups(spark, monkeypatch, block):
     assert {r.id: r.component for r in simhash.similar_groups(docs(spark, texts)).collect()} == want
 
 
+def test_blocks_by_brute_force():
+    """Parity bits rule out no similar pair; the links of a block join what similar pairs of different roots join."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(-(1 << 62), 1 << 62, int(rng.integers(1, 900)))
+        for _ in range(8):
+            kept = base[rng.random(len(base)) < rng.choice([1, 0.97, 0.9, 0.8])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, 1 + len(base) // 8)))])))
+    sets += [np.array([5]), np.array([5]), np.arange(2000), np.arange(2400)]
+    n, roots, asks = np.array(list(map(len, sets))), rng.integers(0, 60, len(sets)), rng.random(len(sets)) < 0.7
+    alike = [(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if (asks[x] or asks[y]) and roots[x] != roots[y] and 9 * len(np.intersect1d(sets[x], sets[y])) >= 4 * (n[x] + n[y])]
+    assert len(alike) > 40
+    marks = simhash.possible_rows([simhash.parity_bits(x) for x in sets], n, roots, asks)
+    assert all(marks[x] and marks[y] for x, y in alike) and not marks.all()
+    found = simhash.forest_of_similar(sets, roots, asks)
+    assert {tuple(sorted(p)) for p in found} <= set(alike)
+    want = components([(int(roots[x]), int(roots[y])) for x, y in alike], set(roots.tolist()))
+    assert components([(int(roots[x]), int(roots[y])) for x, y in found], set(roots.tolist())) == want
+
+
 def edited_pairs(rng, many, edits):
     """Pairs of texts of 180 shingles, ``edits`` * 5 of which differ: similarities of 0.8 for four edits, 0.756 for five."""
     texts = []
