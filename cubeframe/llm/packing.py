@@ -2,10 +2,12 @@
 
 Only the histogram over lengths (at most ``capacity`` bins) reaches the driver. There the
 configuration linear program (least number of sequences whose contents cover the histogram) is
-solved approximately by multiplicative weights: each round prices the lengths, an unbounded
-knapsack by dynamic programming finds the sequence of largest price, and the lengths it covers
-become cheaper. The fractional solution is rounded down and what is left over is placed best-fit
-in decreasing length. Documents then take their places by their rank among those of their length.
+solved approximately by multiplicative weights: each round prices the lengths, one table of an
+unbounded knapsack by dynamic programming gives the sequence of largest price around each length,
+and the lengths become cheaper as they are covered. The fractional solution is rounded: down, then
+up as far as the histogram covers it. The program is solved again for what is left, a few times;
+the last pieces are placed best-fit in decreasing length. Documents then take their places by
+their rank among those of their length.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from cubeframe.llm.common import materialize, table
 
 CAPACITY = 2048
 END = 0
-#: Rounds of multiplicative weights, and their step.
-ROUNDS, STEP = 240, 0.7
+#: Times that the program is solved for what is left, rounds of multiplicative weights each time, and their step.
+SOLVED, ROUNDS, STEP = 12, 4, 0.5
+#: A length's first price is its share of the room to this power: long ones are placed first, short ones fill the last gaps.
+EARLY = 1.1
 #: About so many pieces share a rank window.
 RANK_ROWS = 100_000
 #: Up to here the letters, digits and spaces of both tokenizer libraries agree.
@@ -84,8 +88,8 @@ def pieces(docs: DataFrame, capacity: int, path: str, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """Lengths (repeats allowed) within ``capacity`` of the largest summed price."""
+def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> list[Counter]:
+    """For each of ``lengths`` (ascending) the contents (repeats allowed) of the largest summed price within ``capacity`` that hold it."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     n_fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -94,30 +98,34 @@ def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
             values = best[c - lengths[:n]] + prices[:n]
             if values[k := int(values.argmax())] > best[c]:
                 best[c], took[c] = values[k], k
-    found, c = Counter(), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            found[int(lengths[took[c]])] += 1
-            c -= int(lengths[took[c]])
-    return found
+    filled = np.maximum.accumulate(np.where(took >= 0, np.arange(capacity + 1), 0))  # the room that is really used
+    contents = [Counter({x: 1}) for x in lengths.tolist()]
+    room = filled[capacity - lengths]
+    live = np.flatnonzero(room)
+    while len(live):
+        taken = lengths[took[room[live]]]
+        for i, x in zip(live.tolist(), taken.tolist()):
+            contents[i][x] += 1
+        room[live] = filled[room[live] - taken]
+        live = live[room[live] > 0]
+    return contents
 
 
 def configuration_lp(need: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP) -> dict[tuple, float]:
     """A fractional cover: configuration ((length, times), ...) to how often it is used."""
     lengths = np.array(sorted(need))
-    counts = np.array([need[x] for x in lengths.tolist()], float)
     at = {x: i for i, x in enumerate(lengths.tolist())}
     covered, used = np.zeros(len(lengths)), Counter()
     for _ in range(rounds):
-        prices = np.exp(-step * (covered - covered.min())) / counts * lengths.mean()
         # a price never falls below its share of the room, so that full sequences are preferred
-        found = knapsack(prices + 1e-9 * lengths, lengths, capacity)
-        times = min(counts[at[x]] / k for x, k in found.items())
-        used[tuple(sorted(found.items(), reverse=True))] += times
-        for x, k in found.items():
-            covered[at[x]] += times * k / counts[at[x]]
+        prices = (lengths / capacity) ** EARLY * np.exp(-step * (covered - covered.min())) + 1e-9 * lengths
+        now = np.zeros(len(lengths))
+        for found in knapsack(prices, lengths, capacity):
+            times = min(need[x] / k for x, k in found.items())
+            used[tuple(sorted(found.items(), reverse=True))] += times
+            for x, k in found.items():
+                now[at[x]] += times * k / need[x]
+        covered += now / max(1.0, float(now.mean()))
     room = sum(n * x for x, n in need.items()) / capacity
     scale = room / sum(used.values())
     return {c: t * scale for c, t in used.items()}
@@ -146,18 +154,47 @@ def best_fit(need: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [(dict(c), k) for groups in open_at.values() for c, k in groups]
 
 
+def rounded_lp(need: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole full sequences from the program's solution, the most used configurations first: rounded
+    down, then up, both as far as ``need`` covers them. What they hold is taken out of ``need``."""
+    ranked = sorted(configuration_lp(need, capacity).items(), key=lambda x: (-x[1], x[0]))
+    ranked = [(c, t) for c, t in ranked if sum(x * k for x, k in c) == capacity]
+    out = []
+    for up in (0, 1):
+        for contents, times in ranked:
+            times = min([int(times) + up, *(need.get(x, 0) // k for x, k in contents)])
+            if times > 0:
+                out.append((dict(contents), times))
+                for x, k in contents:
+                    need[x] -= times * k
+                    if not need[x]:
+                        del need[x]
+    return out
+
+
 def plan(need: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole sequences for every piece: the rounded program, then best fit for the rest."""
-    rest, out = Counter({x: n for x, n in need.items() if n > 0}), []
-    if not rest:
-        return []
-    for contents, times in sorted(configuration_lp(rest, capacity).items(), key=lambda x: (-x[1], x[0])):
-        times = min([int(times), *(rest[x] // k for x, k in contents)])
-        if times > 0:
-            out.append((dict(contents), times))
-            for x, k in contents:
-                rest[x] -= times * k
-    return out + best_fit({x: n for x, n in rest.items() if n > 0}, capacity)
+    """Whole sequences for every piece: the rounded program, and best fit for the rest.
+
+    If that takes more sequences than the tokens need, the last roundings are taken back one by
+    one for as long as best fit does better without them.
+    """
+    rest = {x: n for x, n in need.items() if n > 0}
+    bound = -(-sum(x * n for x, n in rest.items()) // capacity)
+    taken, states = [], [dict(rest)]
+    while rest and len(taken) < SOLVED:
+        made = rounded_lp(rest, capacity)
+        if not made:
+            break
+        taken.append(made)
+        states.append(dict(rest))
+    best: list[tuple[dict[int, int], int]] | None = None
+    for upto in range(len(taken), -1, -1):
+        tried = [x for made in taken[:upto] for x in made] + best_fit(states[upto], capacity)
+        if best is None or sum(t for _, t in tried) < sum(t for _, t in best):
+            best = tried
+        if sum(t for _, t in best) == bound:
+            break
+    return best or []
 
 
 def _slots(planned: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -178,8 +215,8 @@ def pack(docs: DataFrame, capacity: int, path: str, id_col: str = "doc_id", text
 
     Null and empty texts are one piece with the END id alone. Ties and repeated rows are pieces
     like any other and get places of their own; an empty table gives no rows. Other columns are
-    ignored. The plan's size depends on ``capacity`` alone: at most ROUNDS configurations and
-    three for each length. Ranks are taken within (length, part of the ids), so a length that a
+    ignored. The plan's size depends on ``capacity`` alone: at most 2 * SOLVED * ROUNDS
+    configurations and three others for each length. Ranks are taken within (length, part of the ids), so a length that a
     third of all rows share is spread.
     """
     spark = docs.sparkSession

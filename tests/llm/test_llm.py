@@ -203,6 +203,21 @@ def test_plan():
     assert sum(t for _, t in packing.plan({1500: 7, 548: 7}, 2048)) == 7
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_plan_comes_from_the_program(spark, monkeypatch, sf):
+    """Most sequences of real lengths are rounded configurations, and no more are used than the tokens need."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    need = {r.length: r["count"] for r in packing.pieces(docs, 2048, packing.tokenizer_path()).groupBy("length").count().collect()}
+    fitted = []
+    best_fit = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda *a: fitted.append(best_fit(*a)) or fitted[-1])
+    made = packing.plan(need, 2048)
+    total = sum(t for _, t in made)
+    assert total == -(-sum(x * n for x, n in need.items()) // 2048)
+    assert sum(t for _, t in fitted[-1]) < 0.4 * total
+    assert sum((Counter({x: k * t for x, k in c.items()}) for c, t in made), Counter()) == Counter(need)
+
+
 def test_tokenizers_agree():
     rng = np.random.default_rng(0)
     exact, fast = packing._tokenizers(packing.tokenizer_path())
