@@ -3,24 +3,23 @@
 Each window of ``length`` bytes is named after its minimizer, the substring of ``GRAM`` bytes
 with the least hash (leftmost of equal ones). Equal windows have equal minimizers at equal
 offsets, so only windows under one minimizer need comparing. Consecutive windows with the same
-minimizer form a run of some 80 windows; runs are counted under the minimizer's 64-bit hash and
-told apart by a second one over all their bytes.
-
-* a minimizer seen once: nothing repeats;
-* all its runs alike (equal in both hashes, 128 bits): the run repeats as a whole;
-* else the different runs' bytes are fetched, and their windows are sorted as suffixes: a merge
-  sort whose comparisons find the common extension by binary search over prefix polynomial
-  hashes. Neighbours whose extension reaches ``length`` are compared byte by byte.
-
-A minimizer under which more than ``GROUP`` different runs meet is divided among tasks by the
-windows' offsets, if need be also by their hashes, and the windows' hashes (128 bits) are
-compared instead, so that no task holds a hot passage's surroundings.
+minimizer form a run of some 80 windows. A minimizer seen once repeats nothing; the other runs'
+bytes are cut out and grouped by these bytes themselves. Runs of the same bytes repeat as a
+whole. The windows of different runs under one minimizer are sorted as suffixes: a merge sort
+whose comparisons find the common extension by binary search over prefix polynomial hashes. The
+order is then verified byte by byte; where a collision has spoilt it, the bytes are sorted.
+
+Where more than ``GROUP`` different runs meet, they are cut into blocks of ``BLOCK`` windows,
+which meet under the bytes that all windows of a block cover; blocks of which still more than
+``GROUP`` meet differ in less than ``BLOCK`` bytes at either end, and are cut into windows,
+grouped by their bytes. So no task holds a hot passage's surroundings, and hashes only ever
+decide where strings meet, never whether they are equal.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,14 +32,12 @@ from cubeframe.llm.common import materialize, spread, table
 
 LENGTH = 200
 GRAM = 40
-#: Different runs of one minimizer that a task compares at once.
-GROUP = 256
-#: Of larger ones: offsets that a task takes together, and runs to a part.
-BLOCK, PART = 64, 100_000
+#: Different runs of one minimizer that a task sorts at once, and windows to a block of larger groups' runs.
+GROUP, BLOCK = 512, 16
 #: Bytes of text hashed at once; a longer document is taken alone.
 CHUNK = 1 << 20
-#: Odd bases of the prefix hashes modulo 2^64; strings compared are far shorter than any that collide for all bases.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Odd base of the prefix hashes modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
 _NO_ID = -(1 << 63)
 
 np.seterr(over="ignore")
@@ -101,14 +98,13 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows of several texts: (text number, first window, windows, offset of the first
-    window from the minimizer, minimizer hash, run hash)."""
+    window from the minimizer, minimizer hash)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
-    empty = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
+    empty = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     if len(data) < length:
         return empty
-    first = PrefixHash(data, BASES[0])
-    grams = _mix(first.every(GRAM))
+    grams = _mix(PrefixHash(data, BASE).every(GRAM))
     ranked = grams >> np.uint64(32) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
     least = (_window_least(ranked, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -122,11 +118,8 @@ def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     starts, counts = starts[valid[starts]], counts[valid[starts]]
     if not len(starts):
         return empty
-    second = PrefixHash(data, BASES[1])
-    offset = starts - least[starts]
-    whole = second.at(starts, counts - 1 + length) + (offset + length).astype(np.uint64) * np.uint64(1 << 20) + counts.astype(np.uint64)
     doc = number[starts]
-    return doc, starts - (ends[doc] - sizes[doc]), counts, offset, grams[least[starts]], _mix(whole)
+    return doc, starts - (ends[doc] - sizes[doc]), counts, starts - least[starts], grams[least[starts]]
 
 
 def _bytes(text: str | None) -> bytes:
@@ -142,7 +135,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, digest, at, n, off, mh, rk) of each run of each row."""
+    """(doc_id, digest, at, n, off, mh) of each run of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -159,13 +152,13 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             if held:
                 yield _frame(ids, held, length)
 
-    return docs.mapInPandas(run, "doc_id long, digest long, at long, n int, off int, mh long, rk long")
+    return docs.mapInPandas(run, "doc_id long, digest long, at long, n int, off int, mh long")
 
 
 def _frame(ids: list[int], held: list[bytes], length: int) -> pd.DataFrame:
-    doc, at, n, off, mh, rk = runs_of(held, length)
+    doc, at, n, off, mh = runs_of(held, length)
     digests = np.array([_digest(x) for x in held], np.int64)
-    return pd.DataFrame({"doc_id": np.array(ids, np.int64)[doc], "digest": digests[doc], "at": at, "n": n.astype(np.int32), "off": off.astype(np.int32), "mh": _signed(mh), "rk": _signed(rk)})
+    return pd.DataFrame({"doc_id": np.array(ids, np.int64)[doc], "digest": digests[doc], "at": at, "n": n.astype(np.int32), "off": off.astype(np.int32), "mh": _signed(mh)})
 
 
 def sort_windows(data: np.ndarray, start: np.ndarray, segment: np.ndarray, length: int) -> np.ndarray:
@@ -175,7 +168,7 @@ def sort_windows(data: np.ndarray, start: np.ndarray, segment: np.ndarray, lengt
     is found by binary search; a comparison takes the common extension of two windows, itself a
     binary search over prefix hashes, and then the next bytes.
     """
-    hashes = PrefixHash(data, BASES[0])
+    hashes = PrefixHash(data, BASE)
     padded = np.append(data, np.zeros(1, np.uint8)).astype(np.int16)
 
     def below(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,11 +211,21 @@ def sort_windows(data: np.ndarray, start: np.ndarray, segment: np.ndarray, lengt
     return order
 
 
+def _follows(view: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether windows x and y are equal, whether x comes first or is equal), byte by byte."""
+    differ = view[x] != view[y]
+    first = differ.argmax(axis=1)
+    at = np.arange(len(x))
+    equal = ~differ[at, first]
+    return equal, equal | (view[x, first] < view[y, first])
+
+
 def repeated_windows(strings: list[bytes], group: np.ndarray, offset: np.ndarray, length: int) -> list[np.ndarray]:
     """For each run (a string, its group, its first window's offset): which windows are equal to
     another run's of its group. Equal windows have equal offsets, so these make the segments."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    data = np.frombuffer(b"".join(strings), np.uint8)
+    raw = b"".join(strings)
+    data = np.frombuffer(raw, np.uint8)
     counts = sizes - length + 1
     run = np.repeat(np.arange(len(strings)), counts)
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -230,18 +233,22 @@ def repeated_windows(strings: list[bytes], group: np.ndarray, offset: np.ndarray
     by = np.lexsort((offset[run] + nth, group[run]))
     g, o = group[run][by], (offset[run] + nth)[by]
     segment = np.concatenate([[0], np.cumsum((g[1:] != g[:-1]) | (o[1:] != o[:-1]))]) if len(by) else by
-    order = by[sort_windows(data, start[by], segment, length)]
-    rank = np.empty(len(by), np.int64)
-    rank[by] = segment
-    hit = np.zeros(len(start), bool)
     view = np.lib.stride_tricks.sliding_window_view(data, length)
-    for at in range(0, len(order) - 1, 20_000):
-        x, y = order[at : at + 20_000], order[at + 1 : at + 20_001]
-        x = x[: len(y)]
-        near = np.nonzero(rank[x] == rank[y])[0]
-        x, y = x[near], y[near]
-        same = (view[start[x]] == view[start[y]]).all(axis=1)
-        hit[x[same]] = hit[y[same]] = True
+    places, sorted_ = start[by], sort_windows(data, start[by], segment, length)
+    for _ in range(2):
+        hit, sound = np.zeros(len(start), bool), True
+        for at in range(0, len(sorted_) - 1, 20_000):
+            x, y = sorted_[at : at + 20_000], sorted_[at + 1 : at + 20_001]
+            x = x[: len(y)]
+            near = np.nonzero(segment[x] == segment[y])[0]
+            x, y = x[near], y[near]
+            same, ordered = _follows(view, places[x], places[y])
+            sound = sound and bool(ordered.all())
+            hit[by[x[same]]] = hit[by[y[same]]] = True
+        if sound:
+            break
+        # unequal windows with equal hashes: the bytes themselves are sorted
+        sorted_ = np.array(sorted(range(len(by)), key=lambda i: (segment[i], raw[places[i] : places[i] + length])))
     return np.split(hit, np.cumsum(counts)[:-1])
 
 
@@ -250,20 +257,20 @@ def _ranges(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def _compare(length: int):
-    """mapInPandas over runs sorted by mh: (mh, rk, first, n) of their repeated windows."""
+def _compare(length: int, keys: Sequence[str]):
+    """mapInPandas over runs sorted by ``keys``, under which they meet: (kind, first, n) of their repeated windows."""
 
     def solve(rows: list[tuple]) -> pd.DataFrame:
-        names = {}
+        names: dict[tuple, int] = {}
         group = np.array([names.setdefault(r[0], len(names)) for r in rows])
         hits = repeated_windows([r[3] for r in rows], group, np.array([r[2] for r in rows]), length)
-        out = [(r[0], r[1], a, b - a) for r, hit in zip(rows, hits, strict=True) for a, b in _ranges(hit)]
-        return pd.DataFrame(out, columns=["mh", "rk", "first", "n"])
+        out = [(r[1], r[4] + a, b - a) for r, hit in zip(rows, hits, strict=True) for a, b in _ranges(hit)]
+        return pd.DataFrame(out, columns=["kind", "first", "n"]).astype({"kind": "int64", "first": "int32", "n": "int32"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for pdf in batches:
-            for row in zip(pdf["mh"], pdf["rk"], pdf["off"], pdf["data"], strict=True):
+            for row in zip(zip(*(pdf[c] for c in keys), strict=True), pdf["kind"], pdf["off"], pdf["data"], pdf["skip"], strict=True):
                 if len(held) >= 2000 and row[0] != held[-1][0]:
                     yield solve(held)
                     held = []
@@ -274,99 +281,64 @@ def _compare(length: int):
     return run
 
 
-def _hashed_windows(length: int):
-    """mapInPandas over runs: (mh, block, part, rk, nth, packed) with a run's windows of BLOCK offsets
-    each, their numbers in the run, and two hashes of each; of a very hot minimizer in several parts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            strings = list(pdf["data"])
-            sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-            data, first = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes
-            hashes = [PrefixHash(data, b) for b in BASES]
-            out = []
-            for mh, rk, off, kinds, at, size in zip(pdf["mh"], pdf["rk"], pdf["off"], pdf["kinds"], first, sizes, strict=True):
-                nth = np.arange(size - length + 1)
-                pair = np.stack([_signed(h.at(at + nth, length)) for h in hashes], axis=1)
-                parts = -(-kinds // PART)
-                own = ((off + nth) // BLOCK) * parts + (pair[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                for key in np.unique(own):
-                    mine = np.flatnonzero(own == key)
-                    out.append((mh, key // parts, key % parts, rk, off, mine.astype(np.int32).tobytes(), pair[mine].tobytes()))
-            yield pd.DataFrame(out, columns=["mh", "block", "part", "rk", "off", "nth", "packed"])
-
-    return run
-
-
-def _compare_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas over rows of _hashed_windows sorted by (mh, block, part): (mh, rk, first, n) of repeated windows."""
-
-    def solve(rows: list[tuple]) -> pd.DataFrame:
-        nth = [np.frombuffer(r[5], np.int32).astype(np.int64) for r in rows]
-        row = np.repeat(np.arange(len(rows)), [len(x) for x in nth])
-        pair = np.frombuffer(b"".join(r[6] for r in rows), np.int64).reshape(-1, 2)
-        offset = np.concatenate(nth) + np.array([r[4] for r in rows])[row]
-        order = np.lexsort((pair[:, 1], pair[:, 0], offset))
-        x, o = pair[order], offset[order]
-        same = (x[1:] == x[:-1]).all(axis=1) & (o[1:] == o[:-1])
-        hit = np.zeros(len(order), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        out, ends = [], np.cumsum([len(x) for x in nth])
-        for r, own, end in zip(rows, nth, ends, strict=True):
-            flags = np.zeros(own[-1] + 1, bool)
-            flags[own] = hit[end - len(own) : end]
-            out += [(r[0], r[3], a, b - a) for a, b in _ranges(flags)]
-        return pd.DataFrame(out, columns=["mh", "rk", "first", "n"])
-
-    held: list[tuple] = []
-    for pdf in batches:
-        for row in zip(*(pdf[c] for c in ("mh", "block", "part", "rk", "off", "nth", "packed")), strict=True):
-            if held and row[:3] != held[-1][:3]:
-                yield solve(held)
-                held = []
-            held.append(row)
-    if held:
-        yield solve(held)
+def _sorted(rows: DataFrame, length: int, *keys: str) -> DataFrame:
+    dealt = rows.select(*keys, "kind", "off", "data", "skip").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(_compare(length, keys), "kind long, first int, n int")
+
+
+def compare_kinds(kinds: DataFrame, length: int) -> DataFrame:
+    """(kind, first, n): windows of the different runs ``kinds`` (kind, mh, off, data) that are also in another of the same mh."""
+    met = kinds.groupBy("mh").agg(F.count("*").alias("m")).where("m > 1")
+    kinds = kinds.withColumn("skip", F.lit(0)).join(materialize(met, "groups"), "mh")
+    small, large = kinds.where(F.col("m") <= GROUP), kinds.where(F.col("m") > GROUP)
+    # a block holds the windows that start at BLOCK offsets; all of them cover its core
+    n = f"(length(data) - {length - 1})"
+    blocks = spread(large).withColumn("block", F.explode(F.expr(f"sequence(CAST(floor(off / {BLOCK}) AS INT), CAST(floor((off + {n} - 1) / {BLOCK}) AS INT))")))
+    blocks = blocks.withColumn("low", F.expr(f"greatest(off, block * {BLOCK})")).withColumn("high", F.expr(f"least(off + {n}, block * {BLOCK} + {BLOCK})"))
+    core = F.xxhash64(F.expr(f"substring(data, (block + 1) * {BLOCK} - off, {length - BLOCK + 1})"))
+    blocks = blocks.select("mh", "block", core.alias("core"), "kind", F.col("low").alias("off"), F.expr(f"substring(data, low - off + 1, high - low + {length - 1})").alias("data"), F.expr("low - off").alias("skip"))
+    blocks = materialize(blocks, "blocks")
+    sizes = materialize(blocks.groupBy("mh", "block", "core").agg(F.count("*").alias("m")).where("m > 1"), "cores")
+    blocks = blocks.join(sizes, ["mh", "block", "core"])
+    windows = spread(blocks.where(F.col("m") > GROUP)).select("mh", "kind", "off", "data", "skip", F.explode(F.expr(f"sequence(0, length(data) - {length})")).alias("nth"))
+    windows = windows.select("mh", F.expr("off + nth").alias("off"), F.expr(f"substring(data, nth + 1, {length})").alias("data"), "kind", F.expr("skip + nth").alias("first"))
+    windows = materialize(windows, "windows")
+    again = windows.groupBy("mh", "off", "data").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    single = windows.join(again, ["mh", "off", "data"], "left_semi").select("kind", "first", F.lit(1).alias("n"))
+    return _sorted(small, length, "mh").unionByName(_sorted(blocks.where(F.col("m") <= GROUP), length, "mh", "block", "core")).unionByName(single)
 
 
 def find_repeats(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, digest, first, n): windows ``first`` .. ``first + n`` of a row's text occur elsewhere."""
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     runs = _runs(plain, length)
-    seen = runs.groupBy("mh").agg(F.count("*").alias("times"), F.min("rk").alias("lo"), F.max("rk").alias("hi")).where("times > 1")
-    seen = materialize(seen.select("mh", (F.col("lo") != F.col("hi")).alias("mixed")), "minimizers")
-    again = materialize(runs.join(seen, "mh"), "runs")
-    whole = again.where("NOT mixed").select("doc_id", "digest", F.col("at").alias("first"), "n")
-    kinds = again.where("mixed").groupBy("mh", "rk").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "digest", "at", "n", "off")).alias("one"))
-    kinds = materialize(kinds.select("mh", "rk", "times", "one.*"), "kinds")
-    per = materialize(kinds.groupBy("mh").agg(F.count("*").alias("kinds")), "groups")
-    wanted = kinds.join(per, "mh").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("mh", "rk", "off", "kinds", "at", "n")).alias("runs"))
-    names = ("mhs", "rks", "offs", "kindss")
-    wanted = wanted.select("doc_id", "digest", *[F.col(f"runs.{c}").alias(f"{c}s") for c in ("mh", "rk", "off", "kinds", "at", "n")])
+    seen = materialize(runs.groupBy("mh").agg(F.count("*").alias("times")).where("times > 1").select("mh"), "minimizers")
+    # repeated rows have the same runs, and are joined with their texts one by one
+    again = runs.join(seen, "mh").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("at", "n", "off", "mh")).alias("runs"))
+    again = again.select("doc_id", "digest", *[F.col(f"runs.{c}").alias(f"{c}s") for c in ("at", "n", "off", "mh")])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "digest", "at", "off", "mh", "data"]
         for pdf in batches:
             out = []
-            for packed, *asked in zip(*(pdf[c] for c in ("packed", *names, "ats", "ns")), strict=True):
+            for doc, digest, packed, *asked in zip(*(pdf[c] for c in ("doc_id", "digest", "packed", "ats", "ns", "offs", "mhs")), strict=True):
                 data = zstandard.decompress(packed)
-                for mh, rk, off, kinds, at, n in zip(*(x.tolist() for x in asked), strict=True):
-                    out.append((mh, rk, off, kinds, data[at : at + n - 1 + length]))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["mh", "rk", "off", "kinds", "data"])
-                    out = []
-            yield pd.DataFrame(out, columns=["mh", "rk", "off", "kinds", "data"])
-
-    # repeated rows have one digest: any of them will do
-    fetched = _packed(plain).join(wanted, ["doc_id", "digest"]).select("packed", *names, "ats", "ns").mapInPandas(cut, "mh long, rk long, off int, kinds long, data binary")
-    fetched = materialize(fetched, "fetched").dropDuplicates(["mh", "rk"])
-    fetched = materialize(fetched, "bytes")
-    small = fetched.where(F.col("kinds") <= GROUP).repartition("mh").sortWithinPartitions("mh").mapInPandas(_compare(length), "mh long, rk long, first int, n int")
-    windows = spread(fetched.where(F.col("kinds") > GROUP)).mapInPandas(_hashed_windows(length), "mh long, block int, part int, rk long, off int, nth binary, packed binary")
-    large = windows.repartition("mh", "block", "part").sortWithinPartitions("mh", "block", "part").mapInPandas(_compare_hashes, "mh long, rk long, first int, n int")
-    parts = small.unionByName(large).unionByName(kinds.where("times > 1").select("mh", "rk", F.lit(0).alias("first"), "n"))
-    parts = materialize(parts, "parts")
-    mixed = again.where("mixed").select("mh", "rk", "doc_id", "digest", "at").join(parts, ["mh", "rk"]).select("doc_id", "digest", (F.col("at") + F.col("first")).alias("first"), "n")
-    return whole.unionByName(mixed)
+                for at, n, off, mh in zip(*(x.tolist() for x in asked), strict=True):
+                    out.append((doc, digest, at, off, mh, data[at : at + n - 1 + length]))
+                    if len(out) >= 20_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            yield pd.DataFrame(out, columns=names)
+
+    joined = _packed(plain).join(again, ["doc_id", "digest"]).select("doc_id", "digest", "packed", "ats", "ns", "offs", "mhs")
+    pieces = materialize(joined.mapInPandas(cut, "doc_id long, digest long, at long, off int, mh long, data binary"), "runs")
+    kinds = materialize(pieces.groupBy("mh", "off", "data").agg(F.count("*").alias("times")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    whole = kinds.where("times > 1").select("kind", F.lit(0).alias("first"), F.expr(f"length(data) - {length - 1}").alias("n"))
+    parts = materialize(whole.unionByName(compare_kinds(kinds.select("kind", "mh", "off", "data"), length)), "parts")
+    # only runs of which something repeats are named and joined with it
+    named = kinds.join(parts.select("kind").distinct(), "kind", "left_semi").select("mh", "off", "data", "kind")
+    named = materialize(pieces.join(named, ["mh", "off", "data"]).select("doc_id", "digest", "at", "kind"), "named")
+    return named.join(parts, "kind").select("doc_id", "digest", (F.col("at") + F.col("first")).alias("first"), "n")
 
 
 def _packed(plain: DataFrame) -> DataFrame:
