@@ -2,8 +2,10 @@
 
 Rows are dealt to blocks of bounded size by a hash of their id. A block holds one sorted array of
 long hash strings per tree (signs of random projections). A query descends each tree to its
-longest matching prefix and then ascends all trees together, one prefix bit at a time, until the
-rows under its prefixes are enough; those are scored exactly. The nearest of all blocks are merged.
+longest matching prefix, whose length differs from tree to tree, and then ascends all trees
+together: at each length, from the longest down, tree after tree takes the rows under its prefix
+of that length, until the rows taken are enough. Only those are scored, exactly; the nearest of
+all blocks are merged.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from pyspark.sql import functions as F
 from cubeframe.llm.common import materialize, table
 
 #: Trees, and bits of a hash string.
-TREES, BITS = 24, 32
+TREES, BITS = 128, 32
 #: Rows of a block, and queries that meet it in one task.
-BLOCK, QUERIES = 8192, 2048
-#: Ascend until the rows under a query's prefixes, counted per tree, are so many times the block's.
-ENOUGH = 1.3
+BLOCK, QUERIES = 16_384, 4_096
+#: Ascend until the rows under a query's prefixes, counted per tree, are such a share of the block's and so many for each neighbour.
+ENOUGH, EACH = 0.55, 72
 SEED = 11
 
 
@@ -47,32 +49,45 @@ class Forest:
         bits = (x.astype(np.float32) @ self.planes > 0).reshape(len(x), TREES, BITS)
         return np.packbits(bits, axis=2).view(">u4")[:, :, 0].T.astype(np.uint64)
 
-    def candidates(self, queries: np.ndarray, enough: int) -> np.ndarray:
-        """(queries, rows) marks. Prefixes of x bits cover a run of each sorted array; x is the
-        largest, for all trees of a query alike, whose runs hold ``enough`` rows in sum."""
+    def descend(self, hashes: np.ndarray) -> np.ndarray:
+        """(trees, queries) lengths of the longest prefix that a row of the block shares with each query."""
+        depth = np.zeros(hashes.shape, np.int64)
+        for t, (own, asked) in enumerate(zip(self.sorted, hashes, strict=True)):
+            at = np.searchsorted(own, asked)
+            for beside in (np.maximum(at - 1, 0), np.minimum(at, self.n - 1)):
+                # the sorted neighbour on either side has the longest common prefix
+                differ = own[beside] ^ asked
+                depth[t] = np.maximum(depth[t], BITS - np.ceil(np.log2(differ.astype(np.float64) + 1)).astype(np.int64))
+        return depth
+
+    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
+        """The rows taken for each query: at least ``enough`` of them, counted once a tree, or all."""
         hashes = self._hash(np.column_stack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros(len(queries))]))
-        low = np.zeros((TREES, len(queries)), np.int64)
-        high = np.full((TREES, len(queries)), self.n, np.int64)
-        open_ = np.ones(len(queries), bool)
-        for x in range(1, BITS + 1):  # found top-down; it is where a synchronous ascent would stop
-            drop = np.uint64(BITS - x)
-            own = np.flatnonzero(open_)
-            if not len(own):
+        depth = self.descend(hashes)
+        low, high = np.zeros(hashes.shape, np.int64), np.zeros(hashes.shape, np.int64)
+        open_ = np.arange(len(queries))
+        for x in range(int(depth.max(initial=0)), -1, -1):
+            if not len(open_):
                 break
-            a, b = np.empty((TREES, len(own)), np.int64), np.empty((TREES, len(own)), np.int64)
+            drop = np.uint64(BITS - x)
+            a, b = low[:, open_], high[:, open_]
             for t in range(TREES):
-                prefix = hashes[t, own] >> drop
-                a[t] = np.searchsorted(self.sorted[t], prefix << drop, side="left")
-                b[t] = np.searchsorted(self.sorted[t], (prefix + np.uint64(1)) << drop, side="left")
-            fits = (b - a).sum(axis=0) >= enough
-            low[:, own[fits]], high[:, own[fits]] = a[:, fits], b[:, fits]
-            open_[own[~fits]] = False
-        marks = np.zeros((len(queries), self.n), bool)
-        for t in range(TREES):
-            order = self.order[t]
-            for q, (a, b) in enumerate(zip(low[t].tolist(), high[t].tolist(), strict=True)):
-                marks[q, order[a:b]] = True
-        return marks
+                reached = np.flatnonzero(depth[t, open_] >= x)
+                prefix = hashes[t, open_[reached]] >> drop
+                a[t, reached] = np.searchsorted(self.sorted[t], prefix << drop, side="left")
+                b[t, reached] = np.searchsorted(self.sorted[t], (prefix + np.uint64(1)) << drop, side="left")
+            before = high[:, open_] - low[:, open_]
+            # trees ascend one after the other; those after the one that makes it enough stay where they are
+            taken = np.cumsum(b - a - before, axis=0) + before.sum(axis=0)
+            moves = np.vstack([np.ones(len(open_), bool), taken[:-1] < enough])
+            low[:, open_], high[:, open_] = np.where(moves, a, low[:, open_]), np.where(moves, b, high[:, open_])
+            open_ = open_[taken[-1] < enough]
+        marks = np.zeros(self.n, bool)
+        for runs in zip(low.T.tolist(), high.T.tolist(), strict=True):
+            marks[:] = False
+            for order, a, b in zip(self.order, *runs, strict=True):
+                marks[order[a:b]] = True
+            yield np.flatnonzero(marks)
 
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -80,62 +95,62 @@ def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.add.reduce(np.ascontiguousarray(vectors) * query, axis=1)
 
 
-def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, largest: float) -> list[tuple[int, int, float]]:
-    """(query, row, score) of each query's k best candidates in one block."""
-    # the second bound makes sure of k rows besides the query, or else of all rows
-    marks = Forest(vectors, largest).candidates(queries, int(max(ENOUGH * len(ids), TREES * (k + 1))))
-    marks &= query_ids[:, None] != ids[None, :]
-    out = []
-    for at in range(0, len(queries), 256):
-        rough = np.where(marks[at : at + 256], queries[at : at + 256] @ vectors.T, -np.inf)
-        cut = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
-        for q, bound in enumerate(cut):
-            # products of one block differ from exact ones by far less than this
-            own = np.flatnonzero(np.isfinite(rough[q]) & (rough[q] >= bound - 1e-9 * (1 + abs(bound)) if np.isfinite(bound) else np.isfinite(rough[q])))
-            scores = exact_scores(queries[at + q], vectors[own])
-            best = np.lexsort((ids[own], -scores))[:k]
-            out += zip([int(query_ids[at + q])] * len(best), ids[own[best]].tolist(), scores[best].tolist())
-    return out
+def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, largest: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's place, rows, scores) of each query's k best candidates in one block."""
+    forest = Forest(vectors, largest)
+    for q, own in enumerate(forest.candidates(queries, int(max(ENOUGH * len(ids), EACH * (k + 1))))):
+        own = own[ids[own] != query_ids[q]]
+        if len(own) < k:  # trees that took the same few rows: ascend until k others are sure, or all rows taken
+            own = next(forest.candidates(queries[q : q + 1], TREES * (k + int((ids == query_ids[q]).sum()))))
+            own = own[ids[own] != query_ids[q]]
+        rough = vectors[own] @ queries[q]
+        if len(own) > k:
+            # products summed in another order differ from exact ones by far less than this
+            bound = np.partition(rough, -k)[-k]
+            own = own[rough >= bound - 1e-9 * (1 + abs(bound))]
+        scores = exact_scores(queries[q], vectors[own])
+        best = np.lexsort((ids[own], -scores))[:k]
+        yield q, own[best], scores[best]
 
 
 def search(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query row, itself excluded.
+    """(query_id, rank, vec_id, score): the k nearest found of each query row, rows of its own id excluded.
 
     Every row is indexed. Null ids and vectors that are null, zero, or have null or non-finite
-    components take no part, nor do those of another length than most. Of several vectors of one
-    id the smallest counts, so repeated rows count once. Equal scores go to the smaller id; equal
-    vectors have equal scores. With fewer than k candidates all are returned; an empty table
-    gives no rows. Blocks are bounded whatever vectors repeat; queries and blocks meet in pairs.
+    components take no part. Vectors of another length are searched among themselves. Repeated
+    rows count once; different vectors of one id are rows, and queries, like any other. Equal
+    scores go to the smaller id; equal vectors have equal scores. With fewer than k candidates all
+    are returned; an empty table gives no rows. Blocks are bounded whatever vectors repeat;
+    queries and blocks meet in pairs.
     """
     good = "v IS NOT NULL AND id IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x != 0)"
     spark = rows.sparkSession
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(good)
-    own = materialize(own.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    sizes = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("m"))
-    most = sizes.orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, vec_id long, score double"
-    if most is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = own.where(F.size("v") == most.d)
-    largest = float(most.m) ** 0.5
-    asked = own.where(is_query(F.col("id")))
-    n_blocks, n_parts = -(-most.n // BLOCK), max(1, -(-asked.count() // QUERIES))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_parts)).cast("int")
-    left = own.select("id", "v", F.lit(False).alias("asks"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
-    right = asked.select("id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), part.alias("part"))
+    own = materialize(own.distinct().withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asks = is_query(F.col("id"))
+    sizes = own.groupBy("dim").agg(F.count("*").alias("n"), F.sum(asks.cast("long")).alias("q"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("m"))
+    sizes = sizes.selectExpr("dim", f"CAST((n + {BLOCK - 1}) DIV {BLOCK} AS INT) AS blocks", f"CAST((q + {QUERIES - 1}) DIV {QUERIES} AS INT) AS parts", "sqrt(m) AS largest").where("parts > 0")
+    own = own.join(materialize(sizes, "sizes"), "dim")
+    block = F.expr("CAST(pmod(xxhash64(row), blocks) AS INT)")
+    part = F.expr("CAST(pmod(xxhash64(row, 1), parts) AS INT)")
+    columns = ("dim", "id", "v", "row", "largest")
+    left = own.select(*columns, F.lit(False).alias("asks"), block.alias("block"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    right = own.where(asks).select(*columns, F.lit(True).alias("asks"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), part.alias("part"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy(bool)
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, vectors = pdf["id"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        order = np.argsort(ids, kind="stable")  # results don't depend on the order of arrival
-        q, r = order[asks[order]], order[~asks[order]]
-        return pd.DataFrame(nearest(ids[q], vectors[q], ids[r], vectors[r], k, largest), columns=["query_id", "vec_id", "score"])
-
-    found = left.unionByName(right).groupBy("block", "part").applyInPandas(solve, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        out = []
+        if not asks.all() and asks.any():
+            ids, vectors = pdf["id"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            number = pdf["row"].to_numpy(np.int64)
+            order = np.lexsort((number, ids))  # results don't depend on the order of arrival
+            q, r = order[asks[order]], order[~asks[order]]
+            for i, best, scores in nearest(ids[q], vectors[q], ids[r], vectors[r], k, float(pdf["largest"].iloc[0])):
+                out.append(pd.DataFrame({"row": number[q[i]], "query_id": ids[q[i]], "vec_id": ids[r[best]], "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    found = left.unionByName(right).groupBy("dim", "block", "part").applyInPandas(solve, "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

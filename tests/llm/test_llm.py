@@ -256,11 +256,13 @@ def test_neighbours(spark, monkeypatch):
     vectors = (rng.standard_normal((900, 16)) * rng.uniform(0.5, 2, (900, 1))).astype(np.float32)
     vectors[100:400] = vectors[100]  # a third of all rows alike
     rows = [(int(i), [float(x) for x in v], "s") for i, v in zip(ids, vectors)]
-    bad = [(2000, None, "s"), (2001, [0.0] * 16, "s"), (2002, [1.0] * 15 + [None], "s"), (2003, [float("nan")] * 16, "s"), (2004, [float("inf")] * 16, "s"), (None, [1.0] * 16, "s"), (2005, [1.0] * 3, "s")]
-    df = spark.createDataFrame(rows + bad + rows[:5], "vec_id long, embedding array<float>, score string")
+    bad = [(2000, None, "s"), (2001, [0.0] * 16, "s"), (2002, [1.0] * 15 + [None], "s"), (2003, [float("nan")] * 16, "s"), (2004, [float("inf")] * 16, "s"), (None, [1.0] * 16, "s"), (2020, [1.0, 2.0, 3.0], "s"), (2021, [1.0] * 3, "s")]
+    df = spark.createDataFrame(rows + bad + rows[:5], "vec_id long, embedding array<float>, score string").selectExpr("*", "1 AS query_id", "2 AS rank", "3 AS row", "4 AS dim")
     monkeypatch.setattr(neighbours, "BLOCK", 300)
     monkeypatch.setattr(neighbours, "QUERIES", 20)
     got = neighbours.search(df, lambda i: i % 20 == 0, 20).collect()
+    assert [tuple(r) for r in got if r.query_id == 2020] == [(2020, 1, 2021, 6.0)]  # of its own length
+    got = [r for r in got if r.query_id < 2000]
     want = list(neighbours.brute_force(ids, vectors.astype(np.float64), 20))
     exact = {(q, i): s for q, _, i, s in want}
     assert len(got) == len(want)
@@ -274,6 +276,42 @@ def test_neighbours(spark, monkeypatch):
     few = neighbours.search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, x string"), lambda i: i % 20 == 0, 20).collect()
     assert [(r.query_id, r.rank) for r in sorted(few)] == [(0, 1), (0, 2)]
     assert neighbours.search(df.where("false"), lambda i: i % 20 == 0, 20).count() == 0
+    # two vectors of one id are two rows and two queries
+    twice = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [1.0, 3.0]), (1, [1.0, 3.0])]
+    made = neighbours.search(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, 20).collect()
+    assert sorted(tuple(r) for r in made) == [(0, 1, 1, 2.0), (0, 1, 1, 3.0), (0, 2, 1, 1.0), (0, 2, 1, 1.0)]
+
+
+def test_descent():
+    """The longest common prefix with any row, in each tree; candidates are what is under prefixes, enough or all."""
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.standard_normal((400, 8)), rng.standard_normal((30, 8))
+    forest = neighbours.Forest(vectors, float(np.linalg.norm(vectors, axis=1).max()))
+    hashes = forest._hash(np.column_stack([asked, np.zeros(30)]))
+    same = neighbours.BITS - np.vectorize(int.bit_length)((forest.sorted[:, None, :] ^ hashes[:, :, None]).astype(object)).astype(int)
+    assert (forest.descend(hashes) == same.max(axis=2)).all()
+    for enough in (1, 500, 10**9):
+        for own in forest.candidates(asked, enough):
+            assert len(own) == 400 if enough == 10**9 else len(own) >= enough / neighbours.TREES
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_neighbours(spark, monkeypatch, sf):
+    """Recall@20 against brute force on the whole table, from less than half of the rows."""
+    scored = []
+    frame = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids, vectors = frame["vec_id"].to_numpy(), np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+    want = {(q, i) for q, _, i, _ in neighbours.brute_force(ids, vectors, 20)}
+    ask = ids % 20 == 0
+    inner = neighbours.Forest.candidates
+    monkeypatch.setattr(neighbours.Forest, "candidates", lambda self, *a: (scored.append(len(x)) or x for x in inner(self, *a)))
+    found = neighbours.nearest(ids[ask], vectors[ask], ids, vectors, 20, float(np.linalg.norm(vectors, axis=1).max()))
+    got = {(ids[ask][q], i) for q, best, _ in found for i in ids[best].tolist()}
+    assert len(got & want) / len(want) >= 0.9
+    if sf == "sf0.1":
+        assert np.mean(scored) < 0.5 * len(ids)
+    made = QUERIES["op4_neighbours"](spark, f"/root/testdata/{sf}").collect()
+    assert {(r.query_id, r.vec_id) for r in made} == got
 
 
 # --- 5 SimHash ------------------------------------------------------------------------------------------------
