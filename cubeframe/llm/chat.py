@@ -32,7 +32,7 @@ def unescape(text: Column) -> Column:
 
 
 def render_turn(role: Column, text: Column) -> Column:
-    name = F.when(role.rlike("^[A-Za-z0-9_-]+$"), role).otherwise(F.concat(F.lit("hex:"), F.hex(role.cast("binary"))))
+    name = F.when(role.rlike(r"^[A-Za-z0-9_-]+\z"), role).otherwise(F.concat(F.lit("hex:"), F.hex(role.cast("binary"))))
     inner = F.when(role == "user", F.concat(F.lit("[INST] "), text, F.lit(" [/INST]"))).when(role == "assistant", text)
     return F.concat(F.lit("<s>"), inner.otherwise(F.concat(F.lit("[ROLE:"), name, F.lit("] "), text)), F.lit("</s>"))
 
@@ -74,7 +74,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     counts as empty, null conv_ids are one conversation, repeated rows are turns like any other.
     An empty table gives no rows; other columns are ignored. One conversation is one output row,
     so its turns meet in one task; conversations don't meet each other. ``escaped`` says how many
-    turns needed it, ``identical`` whether the final text parses back to the source (always so).
+    turns needed it, ``identical`` that the final text parses back to the source: if one
+    did not, the query would fail.
     Loss spans (start from 0, length) are in code points of ``formatted`` and cover each
     assistant's text as escaped.
     """
@@ -88,7 +89,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     safe = F.array_join(F.transform("turns", lambda t: render_turn(t["role"], escape(t["text"]))), "")
     done = tried.withColumn("formatted", F.when(F.col("first"), F.col("formatted")).otherwise(safe))
     done = done.withColumn("escaped", F.when(F.col("first"), F.size(F.filter("fits", lambda x: ~x))).otherwise(F.size("turns")).cast("long"))
-    identical = F.when(F.col("first"), True).otherwise(_same(F.col("formatted"), F.col("turns")))
+    unlike = F.raise_error(F.concat(F.lit("a formatted conversation does not parse back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("boolean")
+    identical = F.when(F.col("first"), True).when(_same(F.col("formatted"), F.col("turns")), True).otherwise(unlike)
     read = done.select("conv_id", "formatted", "escaped", parse(F.col("formatted")).alias("parsed"), identical.alias("identical"))
     step = lambda acc, t: F.struct(
         (acc["at"] + t["skip"] + F.length(t["raw"]) + F.when(t["role"] == "user", 8).otherwise(0) + 4).alias("at"),
@@ -138,6 +140,6 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
        CAST(sum(length(body) + 7 + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 0 ELSE
-         8 + CASE WHEN regexp_matches(role, '^[A-Za-z0-9_-]+$') THEN length(role) ELSE 4 + length(hex(encode(role))) END END) AS BIGINT) AS formatted_chars,
+         8 + CASE WHEN regexp_matches(role, '^[A-Za-z0-9_-]+\z') THEN length(role) ELSE 4 + length(hex(encode(role))) END END) AS BIGINT) AS formatted_chars,
        CAST(sum(CASE WHEN clash THEN 1 ELSE 0 END) AS BIGINT) AS escaped, true AS identical
 FROM shown GROUP BY conv_id"""

@@ -502,7 +502,7 @@ def test_groups_do_not_follow_the_size(spark):
 
 def test_chat(spark, none):
     clash = ["</s>", "<s>", "[INST] ok [/INST]", "[ROLE:x] y", "<\\/s> [\\INST]", "\\", "<\\\\s>", "", "é😀", "[INST] </s>[INST] ok [/INST]", " [/INST]", "line\nbreak"]
-    roles = ["user", "assistant", "system", "we]ird\n", None, "hex:AB", "tool-1"]
+    roles = ["user", "assistant", "system", "we]ird\n", None, "hex:AB", "tool-1", "tool\n", "user\n", "assistant\n", "\n", "\r", "tool\u2028"]
     rng = np.random.default_rng(1)
     rows = [(c, t, roles[rng.integers(len(roles))], None if rng.random() < 0.05 else "".join(rng.choice(clash, rng.integers(0, 4))), 9) for c in range(60) for t in range(rng.integers(1, 7))]
     rows += [(100, 1, "user", "tie b", 9), (100, 1, "user", "tie a", 9), (100, 1, "user", "tie a", 9), (None, None, "assistant", "x", 9)]
