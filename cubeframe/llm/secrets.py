@@ -24,7 +24,7 @@ RULES = (
     ("stripe_key", r"^[sr]k_(?:live|test)_[A-Za-z0-9]{16,}$"),
     ("json_web_token", r"^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*$"),
     ("assigned", r"(?i)^[a-z0-9_.-]*(?:pass(?:word|wd)?|secret|token|api_?key|auth|access_?key|credential)[a-z0-9_.-]*[=:][\"']?[^\s\"']{8,}$"),
-    ("hex_string", r"^[0-9a-f]{24,}$"),
+    ("hex_string", r"^[0-9a-f]{20,}$"),
     ("opaque_string", r"^(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}$"),
 )
 #: A cheap first look at a word, which all that RULES accept passes: a long run of such characters, or a name that assigns.
@@ -33,7 +33,9 @@ _LOOK = r"[A-Za-z0-9+/_=.:-]{14,}|(?i:pass|secret|token|api_?key|auth|access_?ke
 _QUOTES = r"[\"']+(?=[=:])|(?<=[=:])[\"']+"
 _PARTS = r"[\"']+|[&,;?{(\[|]+(?=[A-Za-z_][A-Za-z0-9_.-]*[=:])"
 #: What RULES other than 'assigned' accept, inside a part that none accepts as a whole.
-_INSIDE = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA|AGPA|AROA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|[0-9a-f]{24,})(?![A-Za-z0-9])|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+_INSIDE = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA|AGPA|AROA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|[0-9a-f]{20,})(?![A-Za-z0-9])|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: The one kind of several words: what stands between a private key's first and last line.
+_BLOCK = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----\s*+([A-Za-z0-9+/=\s:,-]{16,}?)\s*+-----END "
 #: Names that announce a secret, and words that announce something harmless.
 ANNOUNCE = r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api.?key|access.?key|auth|bearer|credential|private)"
 HARMLESS = r"(?i)(?:^|[^a-z])(?:sha-?\d*|md5|checksum|commit|revision|digest|etag|uuid|guid|hash|version|example|sample|dummy|placeholder|your|isbn|build|integrity)(?:$|[^a-z])"
@@ -107,11 +109,15 @@ def _parts(word: str) -> str:
 
 
 def findings(text: str) -> str:
-    """SQL: array of struct(at, word, secret, rule, before, after) of what rules propose in a text, in the order of its words."""
+    """SQL: array of struct(at, word, secret, rule, before, after) of what rules propose in a text, in the order of its words; private key blocks come last."""
     looks = f"length(ws[i]) >= 13 AND ws[i] RLIKE {_quoted(_LOOK)}"
     found = f"flatten(transform(filter(sequence(0, size(ws) - 1), i -> {looks}), i -> transform({_parts('ws[i]')}, p -> named_struct('at', i, 'word', p.word, 'secret', p.secret, 'rule', p.rule, 'before', concat_ws(' ', get(ws, i - 2), get(ws, i - 1)), 'after', coalesce(get(ws, i + 1), '')))))"
     # the array of one split text keeps it from being split again for each use
-    return rf"element_at(transform(array(split({text}, '[\\x20\\x09-\\x0D]+')), ws -> {found}), 1)"
+    spaces = r"'[\\x20\\x09-\\x0D]+'"
+    at = f"size(split(substr({text}, 1, greatest(instr({text}, k) - 1, 0)), {spaces})) - 1"
+    block = f"transform(regexp_extract_all({text}, {_quoted(_BLOCK)}, 1), k -> named_struct('at', {at}, 'word', k, 'secret', k, 'rule', 'private_key', 'before', 'PRIVATE KEY', 'after', ''))"
+    words = f"element_at(transform(array(split({text}, {spaces})), ws -> {found}), 1)"
+    return f"IF(contains({text}, ' PRIVATE KEY-----'), concat({words}, {block}), {words})"
 
 
 def _named(found: str) -> str:
@@ -123,7 +129,7 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     """(text, label): made-up findings in one line of prose each, from a seeded rule.
 
     Label 1: keys with known prefixes, tokens and passwords assigned to such names, opaque
-    strings after announcing words. Label 0: digests and ids after words that name them, UUIDs,
+    strings after announcing words, private keys. Label 0: certificates, long numbers, digests and ids after words that name them, UUIDs,
     paths, addresses, identifiers, placeholders, phone-like numbers, and long words of prose.
     """
     rand = lambda salt, n, alphabet: f"concat_ws('', transform(sequence(1, CAST({n} AS INT)), k -> substr('{alphabet}', CAST(1 + pmod(xxhash64(id, k, '{salt}'), {len(alphabet)}) AS INT), 1)))"
@@ -144,6 +150,8 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
         f"concat({name}, '=', {rand('j', n('jn', 16, 24), hexa)})",
         f"concat({name}, {sign}, {quote}, {rand('k', n('kn', 20, 44), low + up + dig + '+/')}, {quote})",
         f"concat({name}, '=', {rand('l', n('ln', 12, 24), low + up + dig)})",
+        f"concat({pick('w', 'Bearer ', 'Authorization: Bearer ', 'token ', 'access key ')}, {rand('w', n('wn', 20, 44), hexa)})",
+        f"concat('-----BEGIN ', {pick('z', 'RSA ', 'EC ', 'OPENSSH ', '')}, 'PRIVATE KEY----- ', {rand('z1', 64, low + up + dig + '+/')}, ' ', {rand('z2', n('zn', 20, 64), low + up + dig + '+/')}, ' -----END PRIVATE KEY-----')",
     ]
     bad = [
         f"concat({pick('m', 'commit ', 'sha1: ', 'checksum ', 'md5 = ', 'revision ', 'digest: ', 'etag ')}, {rand('m', n('mn', 32, 64), hexa)})",
@@ -156,6 +164,8 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
         f"concat({rand('t', 4, dig)}, '-', {rand('t2', 4, dig)}, '-', {rand('t3', 4, dig)}, '-', {rand('t4', 4, dig)})",
         f"concat(initcap({word('u1')}), {word('u2')}, {word('u3')}, {word('u4')}, {rand('u', 1, dig)})",
         f"concat('integrity sha512-', {rand('v', 60, low + up + dig + '+/')}, '==')",
+        f"concat('-----BEGIN CERTIFICATE----- MII', {rand('c1', 61, low + up + dig + '+/')}, ' -----END CERTIFICATE-----')",
+        f"concat({pick('d1', 'serial ', 'order ', 'account ', '')}, {rand('d1', n('dn', 20, 26), dig)})",
     ]
     cases = lambda xs, salt: f"CASE pmod(xxhash64(id, '{salt}'), {len(xs)}) {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(xs))} END"
     prose = lambda salt: pick(salt, "the", "we set", "one finds", "see", "and then", "la", "der", "une", "with", "value", "here", "stored in", "note")
@@ -194,10 +204,13 @@ def _tree_sql(node: tuple | float) -> str:
 def train(labelled: DataFrame) -> str:
     """Fit the forest on labelled findings (text, label) and return SQL for a probability from features ``v``.
 
-    At most FIT_ROWS rows, in a fixed order, reach the driver, as numbers only. Rows in which no
-    rule proposes a finding count for nothing: they would not be found either.
+    At most FIT_ROWS findings, in the order of a hash so that both labels keep their shares, reach
+    the driver, as numbers only. Every finding in a row has the row's label. Rows with null label
+    or text, or in which no rule proposes a finding, count for nothing: they would not be found
+    either. Other columns are ignored.
     """
-    made = labelled.selectExpr("label", f"{_named(findings('text'))} AS f").where("size(f) > 0").selectExpr("label", "f[0].x AS x").orderBy("label", "x").limit(FIT_ROWS).collect()
+    made = labelled.where("label IS NOT NULL").selectExpr("CAST(label AS DOUBLE) AS label", f"explode({_named(findings('text'))}.x) AS x")
+    made = made.orderBy(F.xxhash64("label", "x"), "label", "x").limit(FIT_ROWS).collect()
     if len({r.label for r in made}) < 2:
         raise ValueError("labelled findings of both kinds are needed")
     x, y = np.array([r.x for r in made]), np.array([r.label for r in made])
