@@ -1,10 +1,11 @@
-"""Toxicity: a weighted lexicon learned from labels, matched by Aho-Corasick on folded text."""
+"""Toxicity: a weighted lexicon learned from labels, matched by Aho-Corasick on folded text, normalised by length, with exception phrases."""
 
 from __future__ import annotations
 
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -17,17 +18,27 @@ from pyspark.sql import functions as F
 
 from cubeframe.llm.common import materialize, spread, table
 
-#: Letters of other scripts that look like Latin ones, and what they stand for.
-HOMOGLYPHS = dict(zip("абвгдезикмнорстухѕіјԁԛԝ" + "αβεικνορτυχω", "abbrdeeukmhopctyxsijdqw" + "abeikvoptuxw", strict=True))
+#: For each Latin letter those of other scripts, and variants, that Unicode's list of
+#: confusable characters has as looking like it. Compatibility forms (wide, mathematical, circled) are folded by NFKD.
+LOOKALIKES = {
+    "a": "аαɑᴀ", "b": "ьƅвʙᏏ", "c": "сϲᴄᲃⲥ", "d": "ԁɗᏧᴅ", "e": "еҽєεᴇ", "f": "ғƒꜰϝ", "g": "ɡցɢᶃ", "h": "һհнʜᏂ", "i": "іιıɩɪ", "j": "јϳʝᴊ", "k": "кκᴋⲕ", "l": "ӏʟǀ", "m": "мᴍⲙ",
+    "n": "пոηɴ", "o": "оοσօᴏⲟ", "p": "рρᴘⲣ", "q": "ԛզգ", "r": "гᴦʀⲅ", "s": "ѕꜱƽʂ", "t": "тτᴛⲧ", "u": "υսᴜʋ", "v": "ѵνᴠ", "w": "ԝωѡᴡա", "x": "хχⲭ", "y": "уүγყʏ", "z": "ᴢʐⲍ",
+}
+HOMOGLYPHS = {other: letter for letter, others in LOOKALIKES.items() for other in others}
 #: Digits and signs used for letters. Signs count only before a letter or a digit.
-DIGITS = dict(zip("0134578", "oieastb", strict=True))
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SIGNS = {"@": "a", "$": "s", "!": "i"}
-#: Phrases in which a term is harmless: hits inside them don't count.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "stupid me", "dead pool", "sore loser bracket")
+#: Phrases in which an insulting or violent word is harmless: hits inside them don't count. A parameter of ``learn``.
+EXCEPTIONS = (
+    "trash can", "trash bin", "garbage collection", "garbage collector", "garbage truck", "dumb terminal", "dumb waiter", "silly string", "silly season", "idiot proof", "idiot board", "fool proof", "fools gold",
+    "april fool", "clown fish", "circus clown", "stupid me", "dead pool", "dead end", "dead line", "dead lock", "dead heat", "dead sea", "sore loser bracket", "kill switch", "kill process", "kill signal", "killer whale",
+    "killer app", "killer heuristic", "pain killer", "weed killer", "crazy golf", "crazy paving", "crazy quilt", "mad hatter", "mad cow disease", "insane asylum", "lame duck", "bastard file", "bastard sword",
+    "monster truck", "pig iron", "guinea pig", "rat race", "lab rat", "snake oil", "shut up shop", "suck up the dust", "scum line", "pond scum", "ugly duckling", "the good the bad and the ugly", "hate crime law",
+)
 #: Bound of the labelled rows that the lexicon and its calibration are fitted on.
 FIT_ROWS = 20_000
-#: Bound of the lexicon; shares below PRECISION make no term.
-MAX_TERMS, PRECISION = 2_000, 0.7
+#: Shares below PRECISION make no term.
+PRECISION = 0.7
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
@@ -136,15 +147,34 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
+def chosen(known: dict[str, tuple[int, int]], all_t: float, all_c: float) -> dict[str, float]:
+    """Of terms and their (toxic, other) supports those that no better beginning or longer term stands for, with their weights."""
+    ordered = sorted(known)
+
+    def longer(name: str) -> list[str]:
+        return ordered[bisect_right(ordered, name) : bisect_left(ordered, name + chr(0x10FFFF))]
+
+    covered = {name: not name.endswith(" ") and any(known[x][0] >= 0.95 * known[name][0] for x in longer(name)) for name in ordered}
+    terms = {}
+    for name in ordered:
+        stems = [s for k in (*PREFIXES, len(name)) if (s := name.rstrip()[: k + 1]) in known and s != name]
+        # a longer one is the real term, or a kept beginning covers it
+        if not covered[name] and all(covered[s] for s in stems):
+            t, c = known[name]
+            terms[name] = math.log((t + 0.5) / (all_t + 1)) - math.log((c + 0.5) / (all_c + 1))
+    return terms
+
+
 def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
     """Fit the lexicon on at most FIT_ROWS labelled rows outside the held-out quarter.
 
-    Terms of at least four toxic texts are looked at, at most 20 * MAX_TERMS of them. A term's
-    support is the number of distinct neighbourhoods it stands in, so copies of a text count once. A term is kept if its share of toxic neighbourhoods is at least PRECISION and so
-    far above the share of all that it is significant among as many candidates. Of a chain of
-    beginnings with the same support the longest stays; longer ones below a kept one go.
+    All terms of at least four toxic texts and a share of 0.3 are looked at. A term's support is
+    the number of distinct neighbourhoods it stands in, so copies of a text count once. A term is
+    kept if its share of toxic neighbourhoods is at least PRECISION and so far above the share of
+    all that it is significant among as many candidates; FIT_ROWS is the only bound. Of a chain
+    of beginnings with the same support the longest stays; longer ones below a kept one go.
     Without labelled rows of both classes the lexicon is empty and every score is the bias's.
-    Rows with a null id, label or text take no part.
+    Rows with a null id, label or text take no part; of several labels of one id the larger counts.
     """
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
@@ -154,8 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
 
     counted = fit.mapInPandas(_counted, "term long, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counted = materialize(counted, "terms")
-    likely = counted.where("t >= 4 AND t >= 0.3 * (t + c)").orderBy(F.desc(F.expr("t * t / (t + c)")), "term").limit(MAX_TERMS * 20)
-    maybe = frozenset(r.term for r in likely.collect())  # at most 20 * MAX_TERMS numbers
+    likely = counted.where("t >= 4 AND t >= 0.3 * (t + c)")
+    maybe = frozenset(r.term for r in likely.select("term").collect())  # numbers; as many as FIT_ROWS texts have
 
     def neighbourhoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,8 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
     base = all_t / (all_t + all_c)
     share = F.col("t") / (F.col("t") + F.col("c"))
     gain = F.col("t") * F.log(share / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    strong = support.where((share >= PRECISION) & (gain >= math.log(n_terms) + 4)).orderBy(F.desc(gain), "term").limit(MAX_TERMS * 4)
-    counts = {r.term: (r.t, r.c) for r in strong.collect()}  # at most 4 * MAX_TERMS rows
+    strong = support.where((share >= PRECISION) & (gain >= math.log(n_terms) + 4))
+    counts = {r.term: (r.t, r.c) for r in strong.collect()}
     wanted = frozenset(counts)
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,19 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
             found = {term for text in pdf["text"] for term, _ in _features(text) if _hash(term) in wanted}
             yield pd.DataFrame({"name": sorted(found)}, dtype=object)
 
-    named = fit.mapInPandas(names, "name string").distinct().limit(MAX_TERMS * 8).collect()
+    named = fit.mapInPandas(names, "name string").distinct().collect()
     known = {r.name: counts[h] for r in named if (h := _hash(r.name)) in counts}
-    terms = {}
-    for name, (t, c) in sorted(known.items()):
-        stems = [s for k in (*PREFIXES, 99) if (s := name.rstrip()[: k + 1]) in known and s != name]
-        longer = [n for n in known if n != name and n.startswith(name)] if not name.endswith(" ") else []
-        if any(known[n][0] >= 0.95 * t for n in longer):
-            continue  # a longer one is the real term
-        if any(not any(known[n][0] >= 0.95 * known[s][0] for n in known if n != s and n.startswith(s)) for s in stems):
-            continue  # a kept beginning covers it
-        terms[name] = math.log((t + 0.5) / (all_t + 1)) - math.log((c + 0.5) / (all_c + 1))
-    terms = dict(sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
-    made = Lexicon(terms, exceptions)
+    made = Lexicon(chosen(known, all_t, all_c), exceptions)
 
     def densities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -239,7 +259,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns."""
+    """The rows of ``docs`` that are not rejected, with their columns.
+
+    Null and empty texts have no hits and stay, unless most of the labelled texts are toxic.
+    Repeated rows are judged alike and kept or go together; ids may be null. Without labels of
+    both classes all rows stay; an empty table gives no rows.
+    """
     lexicon = learn(docs, labels)
 
     def run(texts: pd.Series) -> pd.Series:

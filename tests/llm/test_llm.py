@@ -172,7 +172,7 @@ def test_more_labels_than_fit(spark, monkeypatch):
 
 def test_planted_secrets(spark):
     """All tokens planted in the documents are found, and nothing else is confirmed."""
-    planted = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "explode(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) AS secret")
+    planted = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", """explode(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) AS secret""")
     want = Counter((r.doc_id, r.secret) for r in planted.collect())
     got = Counter((r.doc_id, r.secret) for r in QUERIES["op1_secrets"](spark, "/root/testdata/sf0.01").where("is_secret").collect())
     assert len(want) > 5 and got == want
@@ -594,6 +594,37 @@ def test_toxicity(spark, odd, none):
     assert not empty.terms and toxicity.rate(frame, empty).where("predicted = 1").count() == 0
 
 
+def test_density_by_brute_force():
+    """Hits of the automaton against a look at every word; exception phrases; homoglyphs and digits."""
+    rng = np.random.default_rng(13)
+    terms = {" grum": 1.5, " grumble ": 2.0, " zork ": 0.7, " ab": 0.2, " abrasive": 3.0}
+    phrases = ("grumble bee", "zork game night", "ab")
+    lexicon = toxicity.Lexicon(terms, phrases)
+    words = ["grumble", "grumbling", "zork", "zorkish", "bee", "game", "night", "abrasive", "gru", "z0rk", "GRUMB1E", "ɡrцmble", "ab", "ａｂ", "x"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words, rng.integers(0, 12)))
+        folded, n = toxicity.fold(text)
+        assert n == len(folded.split()) and "  " not in folded
+        at, total = 0, 0.0
+        excused = set()
+        for phrase in phrases:
+            key = toxicity.fold(phrase)[0]
+            excused |= {i + k for i in range(len(folded)) if folded.startswith(key, i) for k in range(len(key) - 1)}
+        for at in range(len(folded)):
+            weights = [w for term, w in terms.items() if folded.startswith(term, at)]
+            if weights and at not in excused:
+                total += max(weights)
+        assert lexicon.density(text) == pytest.approx(np.log1p(100 * total / (n + 50)))
+    assert toxicity.fold("ZОRΚ zórk ｚ0ｒk @bc")[0] == " zork zork zork abc "
+
+
+def test_chosen_terms():
+    """A longer term with the same support replaces a beginning; a kept beginning covers longer ones."""
+    known = {" zork": (100, 2), " zorki": (40, 1), " zorkis ": (10, 0), " grum": (50, 1), " grumb": (50, 0), " grumble ": (49, 0), " xyz ": (5, 0)}
+    assert set(toxicity.chosen(known, 1e5, 1e6)) == {" zork", " grumble ", " xyz "}
+    assert toxicity.chosen({}, 1.0, 1.0) == {}
+
+
 # --- 8 repeats ------------------------------------------------------------------------------------------------
 
 
