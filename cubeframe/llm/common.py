@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the intermediate tables written so far: once results that rest on them are stored."""
-    while _WRITTEN:
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the intermediate tables written so far but for the first ``keep``: once results that rest on them are stored."""
+    while len(_WRITTEN) > keep:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``make()`` written and read back, and all intermediate tables that it wrote itself removed."""
+    before = len(_WRITTEN)
+    made = materialize(make(), label)
+    path = _WRITTEN.pop()
+    release(spark, before)
+    _WRITTEN.append(path)
+    return made
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly over as many partitions as a shuffle has: for small rows that each make many."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

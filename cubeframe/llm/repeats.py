@@ -3,17 +3,17 @@
 Each window of ``length`` bytes is named after its minimizer, the substring of ``GRAM`` bytes
 with the least hash (leftmost of equal ones). Equal windows have equal minimizers at equal
 offsets, so only windows under one minimizer need comparing. Consecutive windows with the same
-minimizer form a run of some 80 windows. A minimizer seen once repeats nothing; the other runs'
-bytes are cut out and grouped by these bytes themselves. Runs of the same bytes repeat as a
-whole. The windows of different runs under one minimizer are sorted as suffixes: a merge sort
-whose comparisons find the common extension by binary search over prefix polynomial hashes. The
-order is then verified byte by byte; where a collision has spoilt it, the bytes are sorted.
+minimizer form a run of some 80 windows. A minimizer seen once repeats nothing. Runs of the same
+bytes, told by BLAKE2b digests of 128 bits, repeat as a whole. The bytes of different runs under
+one minimizer are fetched, and their windows sorted as suffixes: a merge sort whose comparisons
+find the common extension by binary search over prefix polynomial hashes. The order is then
+verified byte by byte; where a collision has spoilt it, the bytes are sorted.
 
 Where more than ``GROUP`` different runs meet, they are cut into blocks of ``BLOCK`` windows,
 which meet under the bytes that all windows of a block cover; blocks of which still more than
 ``GROUP`` meet differ in less than ``BLOCK`` bytes at either end, and are cut into windows,
-grouped by their bytes. So no task holds a hot passage's surroundings, and hashes only ever
-decide where strings meet, never whether they are equal.
+grouped by their bytes. So no task holds a hot passage's surroundings, and no polynomial hash
+ever decides whether strings are equal.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeframe.llm.common import materialize, spread, table
+from cubeframe.llm.common import materialize, settled, spread, table
 
 LENGTH = 200
 GRAM = 40
@@ -134,8 +134,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, digest, at, n, off, mh) of each run of each row."""
+def _runs(docs: DataFrame, length: int, named: bool) -> DataFrame:
+    """(mh) of each run of each row; if ``named`` also doc_id, digest, at, n, off, and the digest (ra, rb) of its bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -144,21 +144,25 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 if len(data := _bytes(text)) < length:
                     continue
                 if held and room + len(data) > CHUNK:
-                    yield _frame(ids, held, length)
+                    yield _frame(ids, held, length, named)
                     held, ids, room = [], [], 0
                 held.append(data)
                 ids.append(doc)
                 room += len(data)
             if held:
-                yield _frame(ids, held, length)
+                yield _frame(ids, held, length, named)
 
-    return docs.mapInPandas(run, "doc_id long, digest long, at long, n int, off int, mh long")
+    return docs.mapInPandas(run, "mh long" + (", doc_id long, digest long, at long, n int, off int, ra long, rb long" if named else ""))
 
 
-def _frame(ids: list[int], held: list[bytes], length: int) -> pd.DataFrame:
+def _frame(ids: list[int], held: list[bytes], length: int, named: bool) -> pd.DataFrame:
     doc, at, n, off, mh = runs_of(held, length)
+    if not named:
+        return pd.DataFrame({"mh": _signed(mh)})
     digests = np.array([_digest(x) for x in held], np.int64)
-    return pd.DataFrame({"doc_id": np.array(ids, np.int64)[doc], "digest": digests[doc], "at": at, "n": n.astype(np.int32), "off": off.astype(np.int32), "mh": _signed(mh)})
+    made = b"".join([hashlib.blake2b(held[d][a:b], digest_size=16).digest() for d, a, b in zip(doc.tolist(), at.tolist(), (at + n - 1 + length).tolist(), strict=True)])
+    ra, rb = np.frombuffer(made, np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"mh": _signed(mh), "doc_id": np.array(ids, np.int64)[doc], "digest": digests[doc], "at": at, "n": n.astype(np.int32), "off": off.astype(np.int32), "ra": ra, "rb": rb})
 
 
 def sort_windows(data: np.ndarray, start: np.ndarray, segment: np.ndarray, length: int) -> np.ndarray:
@@ -311,33 +315,35 @@ def compare_kinds(kinds: DataFrame, length: int) -> DataFrame:
 def find_repeats(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, digest, first, n): windows ``first`` .. ``first + n`` of a row's text occur elsewhere."""
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    runs = _runs(plain, length)
-    seen = materialize(runs.groupBy("mh").agg(F.count("*").alias("times")).where("times > 1").select("mh"), "minimizers")
-    # repeated rows have the same runs, and are joined with their texts one by one
-    again = runs.join(seen, "mh").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("at", "n", "off", "mh")).alias("runs"))
-    again = again.select("doc_id", "digest", *[F.col(f"runs.{c}").alias(f"{c}s") for c in ("at", "n", "off", "mh")])
+    seen = materialize(_runs(plain, length, False).groupBy("mh").agg(F.count("*").alias("times")).where("times > 1").select("mh"), "minimizers")
+    again = materialize(_runs(plain, length, True).join(seen, "mh"), "runs")
+    name = ("mh", "off", "n", "ra", "rb")
+    kinds = again.groupBy(*name).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "digest", "at")).alias("one")).withColumn("kind", F.monotonically_increasing_id())
+    kinds = materialize(kinds, "kinds")
+    met = kinds.groupBy("mh").agg(F.count("*").alias("m")).where("m > 1")
+    wanted = kinds.join(met, "mh").groupBy("one.doc_id", "one.digest").agg(F.collect_list(F.struct("kind", "mh", "off", "n", F.col("one.at").alias("at"))).alias("runs"))
+    wanted = wanted.select("doc_id", "digest", *[F.col(f"runs.{c}").alias(f"{c}s") for c in ("kind", "mh", "off", "n", "at")])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "digest", "at", "off", "mh", "data"]
         for pdf in batches:
             out = []
-            for doc, digest, packed, *asked in zip(*(pdf[c] for c in ("doc_id", "digest", "packed", "ats", "ns", "offs", "mhs")), strict=True):
+            for packed, *asked in zip(*(pdf[c] for c in ("packed", "kinds", "mhs", "offs", "ns", "ats")), strict=True):
                 data = zstandard.decompress(packed)
-                for at, n, off, mh in zip(*(x.tolist() for x in asked), strict=True):
-                    out.append((doc, digest, at, off, mh, data[at : at + n - 1 + length]))
+                for kind, mh, off, n, at in zip(*(x.tolist() for x in asked), strict=True):
+                    out.append((kind, mh, off, data[at : at + n - 1 + length]))
                     if len(out) >= 20_000:
-                        yield pd.DataFrame(out, columns=names)
+                        yield pd.DataFrame(out, columns=["kind", "mh", "off", "data"])
                         out = []
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=["kind", "mh", "off", "data"])
 
-    joined = _packed(plain).join(again, ["doc_id", "digest"]).select("doc_id", "digest", "packed", "ats", "ns", "offs", "mhs")
-    pieces = materialize(joined.mapInPandas(cut, "doc_id long, digest long, at long, off int, mh long, data binary"), "runs")
-    kinds = materialize(pieces.groupBy("mh", "off", "data").agg(F.count("*").alias("times")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
-    whole = kinds.where("times > 1").select("kind", F.lit(0).alias("first"), F.expr(f"length(data) - {length - 1}").alias("n"))
-    parts = materialize(whole.unionByName(compare_kinds(kinds.select("kind", "mh", "off", "data"), length)), "parts")
+    # repeated rows have one digest: any of them will do
+    fetched = _packed(plain).join(wanted, ["doc_id", "digest"]).select("packed", "kinds", "mhs", "offs", "ns", "ats").mapInPandas(cut, "kind long, mh long, off int, data binary")
+    fetched = materialize(fetched.dropDuplicates(["kind"]), "bytes")
+    whole = kinds.where("times > 1").select("kind", F.lit(0).alias("first"), "n")
+    parts = materialize(whole.unionByName(compare_kinds(fetched, length)), "parts")
     # only runs of which something repeats are named and joined with it
-    named = kinds.join(parts.select("kind").distinct(), "kind", "left_semi").select("mh", "off", "data", "kind")
-    named = materialize(pieces.join(named, ["mh", "off", "data"]).select("doc_id", "digest", "at", "kind"), "named")
+    named = kinds.join(parts.select("kind").distinct(), "kind", "left_semi").select(*name, "kind")
+    named = again.join(named, list(name)).select("doc_id", "digest", "at", "kind")
     return named.join(parts, "kind").select("doc_id", "digest", (F.col("at") + F.col("first")).alias("first"), "n")
 
 
@@ -362,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int) -> DataFrame:
     with null ids. An empty table gives no rows. Other columns are ignored.
     """
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    found = find_repeats(docs, length).groupBy("doc_id", "digest").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("ns"))
+    found = settled(docs.sparkSession, lambda: find_repeats(docs, length), "repeats").groupBy("doc_id", "digest").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("ns"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

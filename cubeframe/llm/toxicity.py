@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubeframe.llm import common
 from cubeframe.llm.common import materialize, spread, table
 
 #: For each Latin letter those of other scripts, and variants, that Unicode's list of
@@ -176,6 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
     Without labelled rows of both classes the lexicon is empty and every score is the bias's.
     Rows with a null id, label or text take no part; of several labels of one id the larger counts.
     """
+    before = len(common._WRITTEN)
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     # the broadcast side has at most FIT_ROWS rows of two numbers
@@ -196,6 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
     totals = counted.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
     support = parts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     if not totals[0] or not totals[1]:
+        common.release(docs.sparkSession, before)
         return Lexicon({}, exceptions)
     all_t, all_c, n_terms = map(float, totals)
     base = all_t / (all_t + all_c)
@@ -220,6 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
 
     fitted = fit.mapInPandas(densities, "x double, y double").toPandas().sort_values(["x", "y"])  # at most FIT_ROWS rows
     made.bias, made.slope = _logistic(fitted["x"].to_numpy(), fitted["y"].to_numpy())
+    common.release(docs.sparkSession, before)  # the lexicon rests on no table
     return made
 
 
