@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubeframe.llm.common import connected, materialize, spread, table
+from cubeframe.llm.common import connected, materialize, settled, spread, table
 
 SEED = 42
 PAIR_CAP = 8
@@ -65,11 +65,16 @@ def with_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` whose graph has the components of 'differ in <= 2 bits'."""
+def _buckets(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One-wildcard variants of ``fp`` that two or more share: (key, n, a, b) with the smallest and the largest, and (fp, key) of all."""
     key = "IF(w < 32, fp & 4294967295L & ~shiftleft(1L, w), shiftrightunsigned(fp, 32) & ~shiftleft(1L, w - 32)) | shiftleft(CAST(w AS LONG), 32)"
     variants = spread(fps.select("fp")).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select("fp", F.expr(key).alias("key"))
-    buckets = materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
+    return materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets"), variants
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` whose graph has the components of 'differ in <= 2 bits'."""
+    buckets, variants = _buckets(fps)
     pairs = buckets.where("n = 2 AND bit_count(a ^ b) <= 2").select("a", "b")
     members = materialize(variants.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
     few = members.where(F.col("n") <= PAIR_CAP).select("key", "fp")
@@ -89,6 +94,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     and never becomes a component unless all ids of it are null. An empty table gives no rows.
     Other columns are ignored, whatever their names.
     """
+    return settled(docs.sparkSession, lambda: _near_duplicates(docs, width, id_col, text_col), "components")
+
+
+def _near_duplicates(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     rows = materialize(with_fingerprints(docs, width, id_col, text_col), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     roots = connected(links(fps.select("fp")))
@@ -152,30 +161,29 @@ def common_shingles(own: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """A bitmap of 4 bits a shingle or more, a power of two; a bit says whether an odd number of shingles fall on it.
+    """A bitmap of 2 bits a shingle or more, a power of two; a bit says whether an odd number of shingles fall on it.
 
     Two sets differ in at least as many shingles as their bitmaps in bits; halves fold by exclusive or.
     """
-    size = max(64, 1 << int(4 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    size = max(64, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
     places = (shingles.view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(places, minlength=size).astype(np.uint8) & 1).tobytes()
 
 
 def _sets(own: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, s, bits): the shingle sets and their parity bits of the texts in ``own`` (id, text) whose id is in ``ids``."""
+    """(id, s): the shingle sets of the texts in ``own`` (id, text) whose id is in ``ids``."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [shingle_set(t, width) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "s": made, "bits": [parity_bits(x) for x in made]})
+            yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, width) for t in pdf["text"]]})
 
-    return materialize(own.join(ids.distinct(), "id", "left_semi").mapInPandas(sets, "id long, s array<long>, bits binary"), "sets").dropDuplicates(["id"])
+    return materialize(own.join(ids.distinct(), "id", "left_semi").mapInPandas(sets, "id long, s array<long>"), "sets").dropDuplicates(["id"])
 
 
 def similar_pairs(asked: DataFrame, own: DataFrame, width: int) -> DataFrame:
     """Of the pairs of ids ``asked`` (a, b) those whose texts in ``own`` (id, text) have a Jaccard similarity of 0.8, exactly."""
     asked = materialize(asked.distinct(), "candidates")
-    held = _sets(own, asked.select(F.col("a").alias("id")).union(asked.select("b")), width).select("id", "s")
+    held = _sets(own, asked.select(F.col("a").alias("id")).union(asked.select("b")), width)
     both = asked.join(held.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     both = both.where("5 * least(size(sa), size(sb)) >= 4 * greatest(size(sa), size(sb)) AND 9 * size(array_intersect(sa, sb)) >= 4 * (size(sa) + size(sb))")
     return materialize(both.select("a", "b"), "links")
@@ -254,7 +262,7 @@ def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found], columns=["a", "b"]).astype("int64")
 
 
-def large_links(hot: DataFrame, links: DataFrame, own: DataFrame, width: int) -> DataFrame:
+def large_links(hot: DataFrame, links: DataFrame, own: DataFrame, bits: DataFrame, width: int) -> DataFrame:
     """``links`` and what is missing for the components of all similar pairs within the buckets of ``hot`` (key, id, n, most).
 
     Two texts of one component need no comparison. In a bucket of several the others than its
@@ -287,18 +295,21 @@ def large_links(hot: DataFrame, links: DataFrame, own: DataFrame, width: int) ->
     rest = rest.withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "root", "asks")
     rest = materialize(rest, "blocks")
-    held = _sets(own, rest.select("id"), width)
-    possible = rest.join(held.select("id", "bits"), "id").groupBy("key", "i", "j").applyInPandas(_possible_in_block, "key long, i int, j int, id long")
+    possible = rest.join(bits, "id").groupBy("key", "i", "j").applyInPandas(_possible_in_block, "key long, i int, j int, id long")
     rest = materialize(rest.join(possible, ["key", "i", "j", "id"], "left_semi"), "possible")
-    met = rest.join(held.select("id", "s"), "id").groupBy("key", "i", "j").applyInPandas(_compare_block, "a long, b long")
+    met = rest.join(_sets(own, rest.select("id"), width), "id").groupBy("key", "i", "j").applyInPandas(_compare_block, "a long, b long")
     return links.union(materialize(met.distinct(), "found"))
 
 
 def signature_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs of ids (a, b) of ``prints`` (id, fp) that deletion-variant signatures link: one for each two fingerprints, each id with the smallest of its own."""
+    """Pairs of ids (a, b) of ``prints`` (id, fp) that deletion-variant signatures propose: two bits apart, or under
+    one variant with its smallest fingerprint; each id with the smallest of its own fingerprint."""
     least = materialize(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("m")), "distinct")
     alike = prints.join(least.where("m > 1"), "fp").where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    near = links(least.select("fp"))
+    buckets, variants = _buckets(least)
+    few = buckets.where("n = 2 AND bit_count(a ^ b) <= 2").select("a", "b")
+    more = variants.join(buckets.where("n > 2").select("key", "a"), "key").where("a != fp AND bit_count(a ^ fp) <= 2").select("a", F.col("fp").alias("b"))
+    near = few.union(more).distinct()
     near = near.join(least.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
     return alike.union(near.select(F.least("x", "y"), F.greatest("x", "y")))
 
@@ -324,12 +335,12 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
                 joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
                 digests = shingle_digests(text, width)
                 shingles = _distinct(digests)
-                out.append((ident, xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined, 2) - (1 << 63), _majority(digests), len(shingles), rarest(shingles, common, counts)))
-            yield pd.DataFrame(out, columns=["id", "h1", "h2", "fp", "n", "rare"])
+                out.append((ident, xxhash.xxh64_intdigest(joined, 1) - (1 << 63), xxhash.xxh64_intdigest(joined, 2) - (1 << 63), _majority(digests), len(shingles), rarest(shingles, common, counts), parity_bits(shingles)))
+            yield pd.DataFrame(out, columns=["id", "h1", "h2", "fp", "n", "rare", "bits"])
 
-    rows = materialize(own.mapInPandas(marked, "id long, h1 long, h2 long, fp long, n int, rare array<long>"), "marked")
+    rows = materialize(own.mapInPandas(marked, "id long, h1 long, h2 long, fp long, n int, rare array<long>, bits binary"), "marked")
     # equal word sequences have equal marks: any row's will do
-    prints = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("rare").alias("rare"))
+    prints = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("bits").alias("bits"))
     prints = materialize(prints, "prints")
     variants = prints.select("id", "n", F.explode("rare").alias("key"))
     buckets = materialize(variants.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1"), "shared")
@@ -343,7 +354,7 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     stars = hot.where("id != low").select("id", "n", "most", "low").distinct().alias("y")
     stars = stars.join(texts.alias("x"), F.expr(f"x.id = y.low AND {_CAN}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     asked = some.union(stars).union(signature_pairs(prints.select("id", "fp")))
-    links_ = large_links(hot.select("key", "id", "n", "most"), similar_pairs(asked, own, width), own, width)
+    links_ = large_links(hot.select("key", "id", "n", "most"), similar_pairs(asked, own, width), own, prints.select("id", "bits"), width)
     roots = connected(links_)
     rooted = prints.join(roots, prints.id == roots.node, "left").select("h1", "h2", F.coalesce("root", "id").alias("component"))
     return rows.select("id", "h1", "h2").join(rooted, ["h1", "h2"]).select("id", "component")
@@ -354,7 +365,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
 
     Rows with a null doc_id stay. Of repeated rows of one doc_id the first in the order of all columns stays.
     """
-    groups = materialize(similar_groups(docs, width), "similar")
+    groups = settled(docs.sparkSession, lambda: similar_groups(docs, width), "similar")
     if groups.count() != groups.select("id").distinct().count():
         null, known = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
         order = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"] or ["doc_id"]))
