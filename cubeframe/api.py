@@ -381,8 +381,14 @@ class ArrayDataset:
         for at in itertools.product(*[range(-(-n // c)) for n, c in zip(self.shape, self.spec.chunk, strict=True)]):
             self._put(at, x[tuple(slice(a * c, (a + 1) * c) for a, c in zip(at, self.spec.chunk, strict=True))])
 
+    def _blank(self) -> np.ndarray:
+        """A chunk of cells that aren't written."""
+        cells = int(np.prod(self.spec.chunk, dtype=object))
+        raw = bytearray(self.spec.fill * cells if self.spec.fill else cells * self.element_size)
+        return np.frombuffer(raw, self.dtype).reshape(self.spec.chunk)
+
     def _put(self, at: tuple[int, ...], part: np.ndarray) -> None:
-        cell = np.zeros(self.spec.chunk, self.dtype)
+        cell = self._blank()
         cell[tuple(slice(0, n) for n in part.shape)] = part
         self._store(at, self.spec.filters.encode(cell.tobytes()))
 
@@ -458,7 +464,7 @@ class ArrayDataset:
     def _chunk(self, at: tuple[int, ...]) -> np.ndarray:
         size = int(np.prod(self.spec.chunk, dtype=object)) * self.element_size
         if at not in self.entries:
-            return np.zeros(self.spec.chunk, self.dtype)
+            return self._blank()
         where, n, mask = self.entries[at]
         self.file._b.file.seek(where)
         return np.frombuffer(self.spec.filters.decode(self.file._b.file.read(n), size, mask), self.dtype).reshape(self.spec.chunk).copy()
@@ -477,7 +483,7 @@ class ArrayDataset:
         if any(n < o for n, o in zip(shape, old, strict=True)):
             for at in list(self.entries):  # what lies beyond the new edge must not come back
                 inside = tuple(slice(0, n - a * c) for n, a, c in zip(shape, at, self.spec.chunk, strict=True))
-                kept = np.zeros(self.spec.chunk, self.dtype)
+                kept = self._blank()
                 kept[inside] = self._chunk(at)[inside]
                 self._store(at, self.spec.filters.encode(kept.tobytes()))
         self.dirty = True

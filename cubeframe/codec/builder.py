@@ -68,6 +68,7 @@ class Spec:
     filters: Pipeline = Pipeline()
     index: str = ""  # single, fixed, extensible or btree2; chosen by the largest shape if empty
     attributes: list[ms.Attribute] = field(default_factory=list)
+    fill: bytes = b""  # of a cell that isn't written; empty: zeros
 
     def index_kind(self) -> int:
         most = self.max_shape or self.shape
@@ -200,7 +201,7 @@ class Builder:
         self._header(replace(spec, path=path), layout, False)
 
     def _header(self, spec: Spec, layout: ms.Layout, early: bool) -> None:
-        out = [(ms.DATASPACE, ms.encode_space(spec.shape, spec.max_shape)), (ms.DATATYPE, dt.encode(spec.type)), (ms.FILL, ms.encode_fill(early))]
+        out = [(ms.DATASPACE, ms.encode_space(spec.shape, spec.max_shape)), (ms.DATATYPE, dt.encode(spec.type)), (ms.FILL, ms.encode_fill(early, spec.fill))]
         if spec.filters and layout.kind == "chunked":
             out.append((ms.FILTERS, ms.encode_filters(spec.filters)))
         out.append((ms.LAYOUT, ms.encode_layout(layout, spec.type.size)))
@@ -212,7 +213,7 @@ class Builder:
         if self.old is None:
             raise NotFound(path)
         d = self.old.dataset(path)
-        return Spec(d.path, d.type, d.shape, d.max_shape, d.chunk, d.filters, {ms.SINGLE: "single", ms.IMPLICIT: "implicit", ms.FIXED: "fixed", ms.EXTENSIBLE: "extensible", ms.BTREE2: "btree2"}.get(d.layout.index, ""), list(d.attributes)), d
+        return Spec(d.path, d.type, d.shape, d.max_shape, d.chunk, d.filters, {ms.SINGLE: "single", ms.IMPLICIT: "implicit", ms.FIXED: "fixed", ms.EXTENSIBLE: "extensible", ms.BTREE2: "btree2"}.get(d.layout.index, ""), list(d.attributes), d.fill), d
 
     # --- end
 

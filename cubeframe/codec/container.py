@@ -71,6 +71,7 @@ class Dataset:
     layout: ms.Layout
     filters: Pipeline
     attributes: list[ms.Attribute] = field(default_factory=list)
+    fill: bytes = b""  # of a cell that isn't written; empty: zeros
 
     @property
     def rank(self) -> int:
@@ -93,6 +94,9 @@ class Dataset:
     def chunk_bytes(self) -> int:
         return int(np.prod(self.chunk, dtype=object)) * self.type.size
 
+    def unwritten(self, cells: int) -> bytes:
+        return self.fill * cells if self.fill else bytes(cells * self.type.size)
+
 
 @dataclass
 class Container:
@@ -230,7 +234,14 @@ class Container:
         layout = ms.decode_layout(self.cursor(header.first(ms.LAYOUT)))
         pipeline = header.first(ms.FILTERS)
         filters = ms.decode_filters(self.cursor(pipeline)) if pipeline is not None else Pipeline()
-        return Dataset(path, header.address, dt.decode(self.cursor(kind)), shape, most, layout, filters, self._attributes(header))
+        made, fill = dt.decode(self.cursor(kind)), b""
+        if (body := header.first(ms.FILL)) is not None:
+            fill = ms.decode_fill(self.cursor(body))
+        elif (body := header.first(ms.FILL_OLD)) is not None:
+            fill = body[4 : 4 + int.from_bytes(body[:4], "little")]
+        if fill and len(fill) != made.size:
+            raise InvalidData(f"a fill value of {len(fill)} bytes for cells of {made.size}")
+        return Dataset(path, header.address, made, shape, most, layout, filters, self._attributes(header), fill)
 
     # --- chunks
 
@@ -276,11 +287,11 @@ class Container:
         return (open_, *(i for i in range(d.rank) if i != open_))
 
     def decode_chunk(self, d: Dataset, entry: ix.Entry | None) -> np.ndarray:
-        """A whole chunk; one that isn't stored is zero."""
+        """A whole chunk; one that isn't stored has the fill value."""
         kind = dt.np_dtype(d.type)
         n = int(np.prod(d.chunk, dtype=object))
         if entry is None or entry[0] is None:
-            return np.zeros(n, np.dtype((np.void, d.type.size))).view(_flat(kind)).reshape(d.chunk + _inner(kind))
+            return np.frombuffer(d.unwritten(n), _flat(kind)).reshape(d.chunk + _inner(kind))
         raw = d.filters.decode(self.read(entry[0], entry[1]), d.chunk_bytes, entry[2]) if d.filters else self.read(entry[0], d.chunk_bytes)
         return np.frombuffer(raw, _flat(kind)).reshape(d.chunk + _inner(kind))
 
@@ -293,7 +304,7 @@ class Container:
         if d.layout.kind == "compact":
             raw = d.layout.data[at : at + n]
         elif d.layout.address is None:
-            raw = bytes(n)
+            raw = d.unwritten(count * row)
         else:
             raw = self.read(d.layout.address + at, n)
         if len(raw) < n:
@@ -312,7 +323,7 @@ class Container:
         if d.layout.kind != "chunked":
             return self.read_rows(d, starts[0], counts[0])[(slice(None), *cut[1:])]
         kind = dt.np_dtype(d.type)
-        out = np.zeros(int(np.prod(counts, dtype=object)) if counts else 1, np.dtype((np.void, d.type.size))).view(_flat(kind)).reshape(counts + _inner(kind))
+        out = np.frombuffer(bytearray(d.unwritten(int(np.prod(counts, dtype=object)))), _flat(kind)).reshape(counts + _inner(kind))
         entries = self.chunk_entries(d)
         ranges = [range(s // c, -(-(s + n) // c)) if n else range(0) for s, n, c in zip(starts, counts, d.chunk, strict=True)]
         for at in itertools.product(*ranges):

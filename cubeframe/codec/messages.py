@@ -241,9 +241,26 @@ def encode_link(name: str, target: int | str) -> bytes:
     return bytes(out)
 
 
-def encode_fill(early: bool) -> bytes:
-    """No value of its own: cells not written are zero. Space is taken at once or chunk by chunk."""
-    return bytes(Bytes().uint(3, 1).uint((1 if early else 3) | 0 << 2, 1))
+def encode_fill(early: bool, value: bytes = b"") -> bytes:
+    """The bytes of a cell that isn't written; none: zeros. Space is taken at once or chunk by chunk."""
+    out = Bytes().uint(3, 1).uint((1 if early else 3) | (32 if value else 0), 1)
+    if value:
+        out.uint(len(value), 4)
+        out += value
+    return bytes(out)
+
+
+def decode_fill(c: Cursor) -> bytes:
+    """The bytes of a cell that isn't written; empty where the default, zero, holds or none is defined."""
+    version = c.u8()
+    if version == 3:
+        return c.take(c.u32()) if c.u8() & 32 else b""
+    if version not in (1, 2):
+        raise UnsupportedFeature(f"fill value version {version}")
+    c.take(2)
+    if not c.u8() and version == 2:
+        return b""
+    return c.take(c.u32())
 
 
 # --- object headers ---------------------------------------------------------------------------

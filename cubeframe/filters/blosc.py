@@ -42,7 +42,7 @@ def _unpack(codec: int, data: bytes, size: int) -> bytes:
 
 
 def encode(data: bytes, params: Sequence[int], size: int = 0) -> bytes:
-    """params: [2] element bytes, [5] shuffle, [6] compressor. BloscLZ is stored, as only its reading is here."""
+    """params: [2] element bytes, [5] shuffle, [6] compressor."""
     width = params[2] if len(params) > 2 else 1
     shuffled = (params[5] if len(params) > 5 else 1) == 1
     codec = params[6] if len(params) > 6 else LZ4
@@ -50,7 +50,7 @@ def encode(data: bytes, params: Sequence[int], size: int = 0) -> bytes:
     if codec == ZLIB:
         packed = zlib.compress(body)
     elif codec == BLOSCLZ:
-        packed = body
+        packed = lz.blosclz_encode(body)
     elif codec in _ARROW:
         packed = pa.compress(body, _ARROW[codec], asbytes=True)
     else:

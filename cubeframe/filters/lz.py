@@ -1,8 +1,8 @@
-"""LZ77 byte codes in pure Python: LZF both ways, BloscLZ reading. Slow; prefer lz4 or zstd."""
+"""LZ77 byte codes in pure Python: LZF and BloscLZ, both ways. Slow; prefer lz4 or zstd."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from cubeframe.errors import InvalidData
 
@@ -19,35 +19,45 @@ def _copy(out: bytearray, distance: int, n: int) -> None:
         out += (piece * (n // distance + 1))[:n]
 
 
-def lzf_encode(data: bytes, params: Sequence[int] = (), size: int = 0) -> bytes:
-    """Literal runs of up to 32 bytes and references of 3 to 264 bytes within 8 KiB.
+def _matches(data: bytes, reach: int, longest: int, near: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, distance, length): literals data[start:end], then a reference; of the last one the length is 0.
 
-    Output of the input's size or more is still valid and kept: the decoder needs no other mark.
+    Greedy, by the last place of each three bytes; references beyond ``near`` are of six bytes at least.
     """
-    out, seen, at, literal, n = bytearray(), {}, 0, 0, len(data)
-
-    def flush(upto: int) -> None:
-        for a in range(literal, upto, 32):
-            part = data[a : min(a + 32, upto)]
-            out.append(len(part) - 1)
-            out.extend(part)
-
+    seen: dict[bytes, int] = {}
+    at, start, n = 0, 0, len(data)
     while at + 2 < n:
         key = data[at : at + 3]
         before = seen.get(key, -1)
         seen[key] = at
-        if before < 0 or at - before > 8192:
+        length = 0
+        if before >= 0 and at - before <= reach:
+            length = 3
+            while length < longest and at + length < n and data[before + length] == data[at + length]:
+                length += 1
+        if length < (6 if at - before > near else 3):
             at += 1
             continue
-        length = 3
-        while length < 264 and at + length < n and data[before + length] == data[at + length]:
-            length += 1
-        flush(at)
-        distance, code = at - before - 1, length - 2
-        out += bytes([min(code, 7) << 5 | distance >> 8, *([code - 7] if code >= 7 else []), distance & 255])
+        yield start, at, at - before, length
         at += length
-        literal = at
-    flush(n)
+        start = at
+    yield start, n, 0, 0
+
+
+def lzf_encode(data: bytes, params: Sequence[int] = (), size: int = 0) -> bytes:
+    """Literal runs of up to 32 bytes and references of 3 to 264 bytes within 8 KiB.
+
+    Output of the input's size or more is still valid and kept: the decoder needs no other mark.
+    """
+    out = bytearray()
+    for start, end, distance, length in _matches(data, 8192, 264, 8192):
+        for a in range(start, end, 32):
+            part = data[a : min(a + 32, end)]
+            out.append(len(part) - 1)
+            out += part
+        if length:
+            code = length - 2
+            out += bytes([min(code, 7) << 5 | (distance - 1) >> 8, *([code - 7] if code >= 7 else []), (distance - 1) & 255])
     return bytes(out)
 
 
@@ -74,6 +84,27 @@ def lzf_decode(data: bytes, params: Sequence[int] = (), size: int = 0) -> bytes:
     return bytes(out)
 
 
+def blosclz_encode(data: bytes) -> bytes:
+    """What ``blosclz_decode`` reads: literals first, the format's mark in the first byte."""
+    out = bytearray()
+    for start, end, distance, length in _matches(data, 8192 + 65535, 1 << 16, 8191):
+        for a in range(start, end, 32):
+            part = data[a : min(a + 32, end)]
+            out.append(len(part) - 1)
+            out += part
+        if length:
+            far = distance - 8192  # below zero: 13 bits hold the distance
+            high, low = ((distance - 1) >> 8, [(distance - 1) & 255]) if far < 0 else (31, [255, far >> 8, far & 255])
+            code = length - 2
+            out.append(min(code, 7) << 5 | high)
+            if code >= 7:
+                out += b"\xff" * ((code - 7) // 255) + bytes([(code - 7) % 255])
+            out += bytes(low)
+    if out:
+        out[0] |= 32
+    return bytes(out)
+
+
 def blosclz_decode(data: bytes, size: int) -> bytes:
     """Runs of up to 32 literals; references whose length goes on in bytes of 255, and whose distance
     may have 16 more bits behind the marks 31 and 255."""

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cubeframe.codec.container import open_container
 from cubeframe.errors import InvalidState, OutOfBounds
 from cubeframe.sources import register
 
@@ -23,16 +24,22 @@ def axes_of(df: DataFrame) -> list[str]:
 
 
 def slab(df: DataFrame, starts: Sequence[int], counts: Sequence[int], shape: Sequence[int] | None = None) -> DataFrame:
-    """Cells of the box [start, start + count) on each axis. Rank and, with ``shape``, bounds are
-    checked at once. Of an array that ``read_array`` gave, only chunks that the box touches are read."""
+    """Cells of the box [start, start + count) on each axis. Rank and bounds are checked at once:
+    bounds by ``shape`` or, of an array that ``read_array`` gave, by its own; of such a one, only
+    chunks that the box touches are read."""
     axes = axes_of(df)
     if len(starts) != len(axes) or len(counts) != len(axes):
         raise OutOfBounds(f"a box of rank {len(starts)} for axes {axes}")
     if any(s < 0 or n < 0 for s, n in zip(starts, counts, strict=True)):
         raise OutOfBounds("negative start or count")
+    source = getattr(df, "_cubeframe_source", None)
+    if shape is None and source:
+        c = open_container(source[0], source[3].get("paired") in (True, "true"))
+        shape = c.dataset(source[1]).shape
+        c.file.close()
     if shape is not None and any(s + n > m for s, n, m in zip(starts, counts, shape, strict=True)):
         raise OutOfBounds(f"{tuple(starts)} + {tuple(counts)} beyond {tuple(shape)}")
-    if source := getattr(df, "_cubeframe_source", None):
+    if source:
         path, dataset, form, options = source
         if "box" not in options:
             df = read_array(df.sparkSession, path, dataset, form, **options, box=",".join(f"{s}:{s + n}" for s, n in zip(starts, counts, strict=True)))

@@ -15,7 +15,6 @@ from cubeframe import functions as FN
 from cubeframe import operators as O
 from cubeframe import streaming
 from cubeframe.codec.container import local
-from cubeframe.filters import BITGROOM, BITROUND, Filter, Pipeline
 from cubeframe.session import shared_dir
 from cubeframe.sources import register
 
@@ -268,16 +267,24 @@ def attribute_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- filters ----------------------------------------------------------------------------------------
 
 
-def _filtered(name: str, text: str) -> None:
+def _filtered(name: str, text: str, idents: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return chunked(spark, sf_dir, filters=text)
+        """The cells, the filters that the container names, and whether no chunk is stored in its raw size."""
+        path = container(spark)
+        O.write_array(vectors(spark, sf_dir), path, "emb/vectors", mode="overwrite", chunk=[128, 16], filters=text)
+        names = O.datasets(spark, path).first()["filters"]
+        coded = O.chunks(spark, path, "emb/vectors").agg(F.bool_and(F.col("stored_bytes") != 128 * 16 * 4)).first()[0]
+        return O.read_array(spark, path, "emb/vectors").select("d0", "d1", "value", F.lit(names).alias("filters"), F.lit(coded).alias("coded"))
 
     run.__name__ = f"filter_{name}_roundtrip"
-    query(LONG)(run)
+    query(f"SELECT d0, d1, value, '{idents}' AS filters, true AS coded FROM ({LONG})")(run)
 
 
-for _name, _text in (("deflate", "deflate:6"), ("shuffle_deflate", "shuffle,deflate:6"), ("zstd", "zstd:3"), ("bzip2", "bzip2:9"), ("lzf", "lzf"), ("lz4", "lz4"), ("bitshuffle", "bitshuffle"), ("blosc", "blosc:5"), ("szip", "szip"), ("checked", "shuffle,lz4,fletcher32")):
-    _filtered(_name, _text)
+for _name, _text, _idents in (
+    ("deflate", "deflate:6", "1"), ("shuffle_deflate", "shuffle,deflate:6", "2,1"), ("zstd", "zstd:3", "32015"), ("bzip2", "bzip2:9", "307"), ("lzf", "lzf", "32000"), ("lz4", "lz4", "32004"),
+    ("bitshuffle", "bitshuffle", "32008"), ("blosc", "blosc:5", "32001"), ("blosclz", "blosc:0", "32001"), ("szip", "szip", "4"), ("checked", "shuffle,lz4,fletcher32", "2,32004,3"),
+):
+    _filtered(_name, _text, _idents)
 
 
 def _eight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,30 +303,41 @@ def filter_fletcher32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _eight(spark, sf_dir).select("event_id", FN.fletcher32(F.col("s").cast("binary")).alias("checksum"))
 
 
-@query()
-def checksum_lookup3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _eight(spark, sf_dir).select("event_id", FN.jenkins_lookup3(F.col("s").cast("binary")).alias("checksum"))
+def _lookup3_sql() -> str:
+    """The published hash of eight bytes, which are its last block: one column for each step of the final mixing."""
+    word = lambda k: " + ".join(f"ascii(s[{k + i + 1}]) * {256**i}" for i in range(4))
+    low, steps = 1 << 32, [f"SELECT event_id, ({0xDEADBEEF + 8} + {word(0)}) % {1 << 32} AS a, ({0xDEADBEEF + 8} + {word(4)}) % {1 << 32} AS b, CAST({0xDEADBEEF + 8} AS BIGINT) AS c FROM (SELECT event_id, lpad(CAST(event_id AS VARCHAR), 8, '0') AS s FROM events)"]
+    for x, y, shift in (("c", "b", 14), ("a", "c", 11), ("b", "a", 25), ("c", "b", 16), ("a", "c", 4), ("b", "a", 14), ("c", "b", 24)):
+        turned = f"({y} * {1 << shift} % {low} + {y} // {1 << 32 - shift})"
+        kept = ", ".join(v for v in "abc" if v != x)
+        steps.append(f"SELECT event_id, {kept}, (xor({x}, {y}) + {low} - {turned}) % {low} AS {x} FROM ({steps[-1]})")
+    return f"SELECT event_id, c AS checksum FROM ({steps[-1]})"
 
 
-def _lossy(spark: SparkSession, sf_dir: str, ident: int, digits: int, error: float) -> DataFrame:
-    """Whether each value keeps its digits."""
+@query(_lookup3_sql())
+def checksum_lookup3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _eight(spark, sf_dir).select("event_id", FN.jenkins_lookup3(F.col("s").cast("binary")).alias("checksum"))
 
-    def run(x: pd.Series) -> pd.Series:
-        v = x.to_numpy(np.float64)
-        made = np.frombuffer(Pipeline((Filter(ident, (digits, 8)),)).encode(v.astype("<f8").tobytes()), "<f8")
-        return pd.Series(np.abs(made - v) <= error * np.abs(v))
 
-    return table(spark, sf_dir, "events").select("event_id", F.pandas_udf(run, "boolean")("value").alias("close"))
+def _lossy(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The bits of each value as the filter leaves them, after a container."""
+    made = stored(spark, values(spark, sf_dir), "events/value", chunk=[1000], filters=text)
+    bits = F.pandas_udf(lambda x: pd.Series(x.to_numpy(np.float64).view(np.int64)), "long")
+    return made.select(F.col("d0").alias("event_id"), bits("value").alias("bits"))
 
 
-@query("SELECT event_id, true AS close FROM events")
+# 3 digits need 11 bits of the mantissa's 52; of the other 41 even places are cleared, odd ones set
+@query(f"SELECT event_id, CASE WHEN value = 0 THEN bits WHEN event_id % 2 = 0 THEN bits - bits % {1 << 41} ELSE bits - bits % {1 << 41} + {(1 << 41) - 1} END AS bits FROM (SELECT event_id, value, CAST(CAST(value AS BIT) AS BIGINT) AS bits FROM events)")
 def filter_bitgroom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lossy(spark, sf_dir, BITGROOM, 3, 0.01)
+    return _lossy(spark, sf_dir, "bitgroom:3")
 
 
-@query("SELECT event_id, true AS close FROM events")
+# m 2^e with m in [1/2, 1): the bits that 4 digits of this value need, the others rounded off
+@query("""SELECT event_id, CASE WHEN value = 0 THEN bits ELSE (bits + (1::BIGINT << (51 - need))) // (1::BIGINT << (52 - need)) * (1::BIGINT << (52 - need)) END AS bits
+FROM (SELECT *, CAST(greatest(abs(floor(e - log2(10) * lm) - floor((floor(e / log2(10) + lm) + 1 - 4) * log2(10))) - 1, 0) AS BIGINT) AS need
+  FROM (SELECT *, log10(abs(value) / power(2, e)) AS lm FROM (SELECT event_id, value, bits, bits // 4503599627370496 % 2048 - 1022 AS e FROM (SELECT event_id, value, CAST(CAST(value AS BIT) AS BIGINT) AS bits FROM events))))""")
 def filter_bitround(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lossy(spark, sf_dir, BITROUND, 4, 0.001)
+    return _lossy(spark, sf_dir, "bitround:4")
 
 
 # --- streams -----------------------------------------------------------------------------------------

@@ -438,6 +438,8 @@ def store(b: bd.Builder, t: Target, messages: list[Written], before: tuple[bd.Sp
                 raw = files[m.part].read(n)
             else:
                 data, seen = np.zeros((cells, kind.size), np.uint8), np.zeros(cells, bool)
+                if before and before[1].fill:
+                    data[:] = np.frombuffer(before[1].fill, np.uint8)
                 if known is not None:
                     data = np.frombuffer(b.old.decode_chunk(before[1], known).tobytes(), np.uint8).reshape(cells, kind.size).copy()
                     seen |= _inside(at, t.chunk, before[1].shape)
@@ -467,7 +469,7 @@ def store(b: bd.Builder, t: Target, messages: list[Written], before: tuple[bd.Sp
         for f in files.values():
             f.close()
     if before:
-        spec = bd.Spec(spec.path, spec.type, shape, spec.max_shape, spec.chunk, spec.filters, spec.index, [*spec.attributes, *t.attributes])
+        spec = bd.Spec(spec.path, spec.type, shape, spec.max_shape, spec.chunk, spec.filters, spec.index, [*spec.attributes, *t.attributes], spec.fill)
         b.chunked(spec, entries, replace_=True)
     elif t.chunked:
         unlimited = t.max_shape or (shape if t.index in ("fixed", "single", "implicit") else (None, *shape[1:]) if t.index in ("", "extensible") else (None,) * t.rank)

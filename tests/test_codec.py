@@ -277,3 +277,24 @@ def test_geometry():
     g = ix.Geometry(ix.EA_PARAMS)
     assert [n for _, n in g.direct_blocks()] == [16, 32, 32, 32, 64, 64]
     assert [n for _, n in ix.Geometry(ix.EA_PARAMS, paired=True).direct_blocks()] == [16, 16, 32, 32, 64, 64]
+
+
+def test_fill_values(tmp_path):
+    path = str(tmp_path / "fill.h5")
+    b = bd.Builder(path)
+    cell = np.arange(3, dtype="<i4").tobytes()
+    b.chunked(bd.Spec("x", dt.integer(4), (7,), (None,), (3,), fill=np.int32(-5).tobytes()), {(1,): (b.put(cell), 12, 0)})
+    b.contiguous(bd.Spec("none", dt.integer(4), (2,), fill=np.int32(9).tobytes()), None)
+    b.contiguous(bd.Spec("zero", dt.integer(4), (2,)), None)
+    b.finish()
+    c = container.open_container(path)
+    assert c.box(c.dataset("x"), (0,), (7,)).tolist() == [-5, -5, -5, 0, 1, 2, -5]
+    assert c.read_rows(c.dataset("none"), 0, 2).tolist() == [9, 9]
+    assert c.read_rows(c.dataset("zero"), 0, 2).tolist() == [0, 0]
+    assert bd.Builder(path, append=True).spec_of("x")[0].fill == np.int32(-5).tobytes()
+    for body in (b"\1\2\0\1\4\0\0\0abcd", b"\2\2\0\1\4\0\0\0abcd", b"\3\x23\4\0\0\0abcd"):
+        assert ms.decode_fill(c.cursor(body)) == b"abcd"
+    for body in (b"\1\2\0\0\0\0\0\0", b"\2\2\0\0", b"\2\2\0\1\0\0\0\0", b"\3\x03", b"\3\x13"):
+        assert ms.decode_fill(c.cursor(body)) == b""
+    with pytest.raises(errors.UnsupportedFeature):
+        ms.decode_fill(c.cursor(b"\4\0"))

@@ -61,3 +61,16 @@ def test_masks_and_errors():
         filters.Pipeline((filters.Filter(6),)).decode(b"", 0)
     with pytest.raises(errors.UnsupportedFeature):
         filters.pipeline("nothing", 4)
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_blosclz(near):
+    for data, _ in INPUTS:
+        assert lz.blosclz_decode(lz.blosclz_encode(data), len(data)) == data
+    noise = RNG.integers(0, 256, 8190 if near else 60000).astype(np.uint8).tobytes()
+    for gap in (0, 1, 2, 3):  # on both sides of the distance that 13 bits hold
+        data = noise + bytes(gap) + noise
+        packed = lz.blosclz_encode(data)
+        assert len(packed) < 0.6 * len(data) and lz.blosclz_decode(packed, len(data)) == data
+    for n in (9, 10, 262, 263, 264, 265, 519, 520, 5000):  # lengths around those that take one more byte
+        assert lz.blosclz_decode(lz.blosclz_encode(b"ab" + b"x" * n), n + 2) == b"ab" + b"x" * n

@@ -48,6 +48,8 @@ def test_boxes_prune(spark, tmp_path, long):
         O.slab(whole, [0], [1])
     with pytest.raises(errors.OutOfBounds):
         O.slab(whole, [0, 5], [1, 3], [13, 7])
+    with pytest.raises(errors.OutOfBounds):
+        O.slab(whole, [0, 5], [1, 3])  # by the shape that the container states
 
 
 def test_sparse_and_double_cells(spark, tmp_path, long):
