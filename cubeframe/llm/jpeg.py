@@ -467,13 +467,17 @@ def to_rgb(image: Image) -> np.ndarray:
         full.append(own[: frame.height, : frame.width])
     if len(full) == 1:
         return np.repeat(full[0][:, :, None], 3, axis=2)
-    y, cb, cr = (x.astype(np.int64) for x in full[:3])
-    cb, cr = cb - 128, cr - 128
+    return rgb(*full[:3])
+
+
+def rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
+    """Red, green and blue bytes, on a last axis, of samples of equal shapes."""
+    y, cb, cr = y.astype(np.int32), cb.astype(np.int32) - 128, cr.astype(np.int32) - 128
     half = 1 << 15  # 16-bit fixed point of the usual matrix
     r = y + ((91881 * cr + half) >> 16)
     g = y + ((-22554 * cb - 46802 * cr + half) >> 16)
     b = y + ((116130 * cb + half) >> 16)
-    return np.clip(np.stack([r, g, b], axis=2), 0, 255).astype(np.uint8)
+    return np.clip(np.stack([r, g, b], axis=-1), 0, 255).astype(np.uint8)
 
 
 # --- Writing -------------------------------------------------------------------------
@@ -497,8 +501,8 @@ def _segment(kind: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, kind, len(body) + 2) + body
 
 
-def _dht(kind: int, table: Huffman) -> bytes:
-    return _segment(0xC4, bytes([kind << 4, *table.bits, *table.values]))
+def _dht(kind: int, table: Huffman, ident: int = 0) -> bytes:
+    return _segment(0xC4, bytes([kind << 4 | ident, *table.bits, *table.values]))
 
 
 def encode_scan(blocks: np.ndarray, lanes_of: np.ndarray, n: int, start: int, end: int, high: int, low: int, table: Huffman | None = None) -> tuple[Huffman | None, list[bytes]]:
@@ -591,6 +595,10 @@ def _encode_refine(band: np.ndarray, lanes_of: np.ndarray, n: int, table: Huffma
 SCRIPT = ((0, 0, 0, 1), (1, 5, 0, 1), (6, 63, 0, 0), (1, 5, 1, 0), (0, 0, 1, 0))
 
 
+def _frame(frame: Frame) -> bytes:
+    return _segment(0xC2, struct.pack(">BHHB", 8, frame.height, frame.width, len(frame.components)) + b"".join(bytes([c.ident, c.h << 4 | c.v, c.quant]) for c in frame.components))
+
+
 def general_table(refine: bool = False, dc: bool = False) -> Huffman:
     """A table for any data of 8-bit coefficients, from a rule: long runs are rare, middle sizes common."""
     counts = np.zeros(256, np.int64)
@@ -615,64 +623,79 @@ def _table(start: int, high: int) -> Huffman | None:
     return GENERAL["refine" if high else "first"] if start else None if high else GENERAL["dc"]
 
 
-def encode_gray(blocks: np.ndarray, sizes: list[tuple[int, int]], quant: np.ndarray, comments: list[bytes]) -> list[bytes]:
-    """Progressive files of one component each: ``sizes`` block rows and columns, ``blocks`` in
-    scan order one image after the other. The tables are fixed, so a file depends on its image
-    alone. Images of more than LANES blocks are coded in parts."""
-    many = [a * b for a, b in sizes]
+def encode_planar(blocks: np.ndarray, frames: list[Frame], quant: np.ndarray, comments: list[bytes]) -> list[bytes]:
+    """Progressive files whose scans hold one component each: ``blocks`` in scan order, one
+    component after the other, one image after the other. Every block is a restart interval. The
+    tables are fixed, so a file depends on its image alone. Components of more than LANES blocks
+    are coded in parts."""
+    many = [int(np.prod(f.padded(c))) for f in frames for c in f.components]
     parts = [min(LANES, n - at) for n in many for at in range(0, n, LANES)]
-    image_of = [i for i, n in enumerate(many) for _ in range(0, n, LANES)]
-    made = [[b"\xff\xd8", _segment(0xFE, note), _segment(0xDB, bytes([0]) + quant.astype(np.uint8).tobytes()), _segment(0xC2, struct.pack(">BHHBBBB", 8, rows * 8, cols * 8, 1, 1, 0x11, 0)), _segment(0xDD, struct.pack(">H", 1))] for (rows, cols), note in zip(sizes, comments, strict=True)]
+    plane_of = [i for i, n in enumerate(many) for _ in range(0, n, LANES)]
     ends = np.cumsum(parts)
+    coded: list[list[list[bytes]]] = []  # of each scan, plane and part
     for start, end, high, low in SCRIPT:
         table = _table(start, high)
-        head = (_dht(1 if start else 0, table) if table else b"") + _segment(0xDA, bytes([1, 1, 0, start, end, high << 4 | low]))
-        data: list[list[bytes]] = [[] for _ in sizes]
+        data: list[list[bytes]] = [[] for _ in many]
         at = 0
         while at < len(parts):  # as many parts as fit into LANES
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LANES, side="right")))
             lo = int(ends[at - 1]) if at else 0
-            _, coded = encode_scan(blocks[lo : ends[upto - 1]], np.repeat(np.arange(upto - at), parts[at:upto]), upto - at, start, end, high, low, table)
-            for i, own in zip(image_of[at:upto], coded, strict=True):
-                data[i].append(own)
+            _, own = encode_scan(blocks[lo : ends[upto - 1]], np.repeat(np.arange(upto - at), parts[at:upto]), upto - at, start, end, high, low, table)
+            for i, x in zip(plane_of[at:upto], own, strict=True):
+                data[i].append(x)
             at = upto
-        for out, own in zip(made, data, strict=True):
-            out += (head, b"\xff\xd7".join(own))  # a part ends with an interval whose number is 7
-    return [b"".join([*out, b"\xff\xd9"]) for out in made]
-
-
-def decode_gray(files: list[bytes]) -> tuple[list[tuple[Frame, dict[int, np.ndarray]]], np.ndarray, np.ndarray]:
-    """(frame and tables of each, all blocks' coefficients, block counts) of one-component files.
-
-    Files whose scans agree in band, bits and tables and restart after every block are decoded
-    together, in groups of at most LANES blocks (a larger file in parts); others one by one.
+        coded.append(data)
+    tables = _segment(0xDB, bytes([0]) + quant.astype(np.uint8).tobytes()) + _dht(0, GENERAL["dc"]) + _dht(1, GENERAL["first"]) + _dht(1, GENERAL["refine"], 1) + _segment(0xDD, struct.pack(">H", 1))
+    out, first = [], 0
+    for frame, note in zip(frames, comments, strict=True):
+        made = [b"\xff\xd8", _segment(0xFE, note), _frame(frame), tables]
+        for (start, end, high, low), data in zip(SCRIPT, coded, strict=True):
+            for k, c in enumerate(frame.components):
+                # a part ends with an interval whose number is 7
+                made += (_segment(0xDA, bytes([1, c.ident, 1 if start and high else 0, start, end, high << 4 | low])), b"\xff\xd7".join(data[first + k]))
+        first += len(frame.components)
+        out.append(b"".join([*made, b"\xff\xd9"]))
+    return out
+
+
+def decode_planar(files: list[bytes]) -> tuple[list[tuple[Frame, dict[int, np.ndarray]]], np.ndarray, np.ndarray]:
+    """(frame and tables of each, all blocks' coefficients, block counts of all components) of files.
+
+    Components whose scans are their own, agree in band, bits and tables and restart after every
+    block are decoded together, in groups of at most LANES blocks (a larger one in parts); files
+    with others one by one.
     """
     parsed = [parse(f) for f in files]
-    counts = np.array([int(np.prod(frame.padded(frame.components[0]))) for frame, _, _ in parsed])
+    counts = np.array([int(np.prod(frame.padded(c))) for frame, _, _ in parsed for c in frame.components], np.int64)
     held = np.zeros((int(counts.sum()), 64), np.int16)
     first = np.cumsum(counts) - counts
-    alike: dict[tuple, list[int]] = {}
-    for i, (_, _, scans) in enumerate(parsed):
-        plain = all(s.interval == 1 for s in scans)
-        key = tuple((s.start, s.end, s.high, s.low, tuple(tuple(t.bits + t.values) for t in [*s.dc.values(), *([s.ac] if s.ac else [])])) for s in scans) if plain else (i,)
-        alike.setdefault(key, []).append(i)
-    for key, members in alike.items():
-        if len(key) == 1 and key[0] == members[0]:
-            frame, _, scans = parsed[members[0]]
+    alike: dict[tuple, list[tuple[int, list[Scan]]]] = {}
+    plane = 0
+    for frame, _, scans in parsed:
+        n = len(frame.components)
+        if all(s.interval == 1 and len(s.which) == 1 for s in scans) and all(frame.blocks(c) == frame.padded(c) for c in frame.components):
+            for k in range(n):
+                own = [s for s in scans if s.which == [k]]
+                key = tuple((s.start, s.end, s.high, s.low, id(s.ac), *map(id, s.dc.values())) for s in own)
+                alike.setdefault(key, []).append((plane + k, own))
+        else:
+            into = [held[first[i] : first[i] + counts[i]] for i in range(plane, plane + n)]
             for scan in scans:
-                decode_scan(scan, frame.order(scan.which), [held[first[members[0]] : first[members[0]] + counts[members[0]]]])
-            continue
+                decode_scan(scan, frame.order(scan.which), into)
+        plane += n
+    for key, members in alike.items():
         for k in range(len(key)):
-            one, data, blocks, room = parsed[members[0]][2][k], [], [], 0
+            one, data, blocks, room = members[0][1][k], [], [], 0
 
             def flush(one=one) -> None:
                 if data:
-                    decode_scan(Scan([0], one.start, one.end, one.high, one.low, one.dc, one.ac, 1, b"\xff\xd0".join(data)), [(0, np.concatenate(blocks))], [held])
+                    dc = {0: t for t in one.dc.values()}
+                    decode_scan(Scan([0], one.start, one.end, one.high, one.low, dc, one.ac, 1, b"\xff\xd0".join(data)), [(0, np.concatenate(blocks))], [held])
                     data.clear()
                     blocks.clear()
 
-            for i in members:
-                for part, lo, n in _cut(parsed[i][2][k].data, int(counts[i])):
+            for i, scans in members:
+                for part, lo, n in _cut(scans[k].data, int(counts[i])):
                     if room + n > LANES:
                         flush()
                         room = 0
@@ -698,7 +721,7 @@ def encode_color(coefficients: list[np.ndarray], frame: Frame, quant: dict[int,
     scans of each component by spectral selection and successive approximation."""
     out = [b"\xff\xd8"]
     out += [_segment(0xDB, bytes([k]) + q.astype(np.uint8).tobytes()) for k, q in sorted(quant.items())]
-    out.append(_segment(0xC2, struct.pack(">BHHB", 8, frame.height, frame.width, len(frame.components)) + b"".join(bytes([c.ident, c.h << 4 | c.v, c.quant]) for c in frame.components)))
+    out.append(_frame(frame))
     out.append(_segment(0xDD, struct.pack(">H", 1)))
     everyone = list(range(len(frame.components)))
     order = frame.order(everyone)

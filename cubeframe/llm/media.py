@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from cubeframe.llm import jpeg
 from cubeframe.llm.common import table
 
-#: Blocks of a payload image's row at most: the largest width in pixels is 65,535.
-ROW_BLOCKS = 8191
+#: MCUs of 16 x 16 pixels of a payload image's row at most: the largest width in pixels is 65,535.
+ROW_MCUS = 4095
 #: Bytes of payload coded at once.
 CHUNK = 1 << 20
 _FLAT = np.ones(64, np.uint8)
@@ -43,38 +43,65 @@ def decode_images(images: DataFrame, id_col: str = "id", data_col: str = "data")
     return images.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).alias("data")).mapInPandas(run, "id long, height int, width int, rgb binary, error string")
 
 
+def layout(n: int) -> jpeg.Frame:
+    """The frame of a payload of ``n`` blocks: 4 of 6 are luma, the others chroma at half the resolution."""
+    mcus = -(-n // 6)
+    rows = -(-mcus // ROW_MCUS)
+    return jpeg.Frame(16 * -(-mcus // rows), 16 * rows, [jpeg.Component(1, 2, 2, 0), jpeg.Component(2, 1, 1, 0), jpeg.Component(3, 1, 1, 0)])
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
-    """Each payload (a multiple of 64 bytes) as a progressive JPEG: 64 bytes are the 64 quantised
-    coefficients of a block, less 128. The comment holds the number of blocks that are payload."""
-    blocks, sizes, notes = [], [], []
+    """Each payload (a multiple of 64 bytes) as a progressive JPEG in colour: 64 bytes are the 64
+    quantised coefficients of a block, less 128; luma blocks come first, then both chroma planes.
+    The comment holds the number of blocks that are payload; up to five more a row fill the last."""
+    blocks, frames, notes = [], [], []
     for payload in payloads:
         n = len(payload) // 64
-        cols = min(n, ROW_BLOCKS)
-        rows = -(-n // cols)
-        own = np.frombuffer(payload, np.uint8).astype(np.int16).reshape(n, 64) - 128
-        blocks.append(own if rows * cols == n else np.concatenate([own, np.zeros((rows * cols - n, 64), np.int16)]))
-        sizes.append((rows, cols))
+        frame = layout(n)
+        own = np.zeros((frame.width * frame.height // 256 * 6, 64), np.int16)
+        own[:n] = np.frombuffer(payload, np.uint8).astype(np.int16).reshape(n, 64) - 128
+        blocks.append(own)
+        frames.append(frame)
         notes.append(b"blocks=%d" % n)
-    return jpeg.encode_gray(np.concatenate(blocks), sizes, _FLAT, notes)
+    return jpeg.encode_planar(np.concatenate(blocks), frames, _FLAT, notes)
+
+
+def tensors(samples: np.ndarray, frames: list[jpeg.Frame]) -> np.ndarray:
+    """(MCUs, 16, 16, 3): full-resolution RGB, chroma repeated, of images of ``layout`` one after the other."""
+    mcus = np.array([f.width * f.height // 256 for f in frames])
+    cols = np.repeat([f.width // 16 for f in frames], mcus)
+    first = np.repeat(6 * (np.cumsum(mcus) - mcus), mcus)
+    own = np.arange(int(mcus.sum())) - np.repeat(np.cumsum(mcus) - mcus, mcus)
+    row, col = np.divmod(own, cols)
+    corner = first + 4 * row * cols + 2 * col
+    luma = samples[np.stack([corner, corner + 1, corner + 2 * cols, corner + 2 * cols + 1], axis=1)]
+    luma = luma.reshape(-1, 2, 2, 8, 8).swapaxes(2, 3).reshape(-1, 16, 16)
+    chroma = first + 4 * np.repeat(mcus, mcus) + own
+    cb, cr = (samples[at].reshape(-1, 8, 8).repeat(2, axis=1).repeat(2, axis=2) for at in (chroma, chroma + np.repeat(mcus, mcus)))
+    return jpeg.rgb(luma, cb, cr)
 
 
 def load(files: list[bytes]) -> list[tuple[bytes, str]]:
-    """(payload, feature) of stored files, from the decoded coefficients and the RGB samples.
+    """(payload, feature) of stored files, from the decoded coefficients and the RGB tensors.
 
-    The feature is height x width x 3 and, over the RGB tensor, the sums of samples, of their
-    squares, and of samples by place in their block's halves.
+    The feature is height x width x 3, the sums of red, green and blue, of all samples' squares,
+    and of samples in the upper halves of bands of 16 lines.
     """
-    heads, held, counts = jpeg.decode_gray(files)
-    gray = jpeg.samples(held, heads[0][1][0]).astype(np.int64) if heads else np.empty((0, 64), np.int64)
-    per = np.stack([gray.sum(1), (gray * gray).sum(1), gray[:, :32].sum(1)], axis=1) * 3  # red, green and blue are alike
-    first = np.cumsum(counts) - counts
-    sums = np.add.reduceat(per, first, axis=0)
+    if not files:
+        return []
+    heads, held, _ = jpeg.decode_planar(files)
+    frames = [frame for frame, _ in heads]
+    rgb = tensors(jpeg.samples(held, heads[0][1][0]), frames)
+    wide = rgb.reshape(len(rgb), 16, -1).astype(np.int64)
+    per = np.column_stack([rgb.sum(axis=(1, 2), dtype=np.int64), np.einsum("mij,mij->m", wide, wide), wide[:, :8].sum(axis=(1, 2))])
+    mcus = np.array([f.width * f.height // 256 for f in frames])
+    sums = np.add.reduceat(per, np.cumsum(mcus) - mcus, axis=0)
     out = []
-    for (frame, _), at, total, data in zip(heads, first, sums, files, strict=True):
+    for frame, at, total, data in zip(frames, 6 * (np.cumsum(mcus) - mcus), sums, files, strict=True):
         size = int.from_bytes(data[4:6], "big")
         n = int(data[6 : 4 + size].removeprefix(b"blocks="))
         payload = (held[at : at + n] + 128).astype(np.uint8).tobytes()
-        out.append((payload, f"{frame.height}x{frame.width}x3:{total[0]}:{total[1]}:{total[2]}"))
+        out.append((payload, f"{frame.height}x{frame.width}x3:" + ":".join(map(str, total))))
     return out
 
 

@@ -703,11 +703,19 @@ def test_media(spark, odd, none):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
         assert by_text.setdefault(payload, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
-        coefficients = jpeg.decode_coefficients(bytes(r.media)).coefficients[0]
+        image = jpeg.decode_coefficients(bytes(r.media))
+        coefficients = np.concatenate(image.coefficients)
         assert (coefficients.reshape(-1)[: len(payload)] + 128).astype(np.uint8).tobytes() == payload
+        assert r.feature == feature_of(jpeg.to_rgb(image))
     assert media.store_texts(none).count() == 0
 
 
+def feature_of(rgb):
+    x = rgb.astype(np.int64)
+    upper = x[np.arange(len(x)) % 16 < 8]
+    return f"{x.shape[0]}x{x.shape[1]}x3:" + ":".join(str(v) for v in (*x.sum(axis=(0, 1)), (x * x).sum(), upper.sum()))
+
+
 def padded(text):
     data = (text or "").encode()
     return data + bytes(-len(data) % 64 or (0 if data else 64))
@@ -718,6 +726,11 @@ def test_long_payload(monkeypatch):
     payload = rng.integers(0, 256, 64 * 9000).astype(np.uint8).tobytes()
     whole = media.store([payload])
     assert media.load(whole)[0][0] == payload
+    monkeypatch.setattr(media, "ROW_MCUS", 100)
+    folded = media.store([payload, bytes(64), payload[:640]])
+    assert [x for x, _ in media.load(folded)] == [payload, bytes(64), payload[:640]]
+    assert [y for _, y in media.load(folded)] == [feature_of(jpeg.to_rgb(jpeg.decode_coefficients(x))) for x in folded]
+    monkeypatch.undo()
     monkeypatch.setattr(jpeg, "LANES", 64)
     assert media.store([payload, bytes(64)])[0] == whole[0]
     assert media.load(whole)[0] == media.load(media.store([payload]))[0]
@@ -751,7 +764,8 @@ def test_color(spark):
     made = {r.id: r for r in media.decode_images(spark.createDataFrame([(0, bytearray(data), 1), (1, None, 1), (2, bytearray(b""), 1), (3, bytearray(b"\xff\xd8junk"), 1), (4, bytearray(data[:300]), 1)], "id long, data binary, height int")).collect()}
     assert (made[0].height, made[0].width) == (37, 53) and bytes(made[0].rgb) == rgb.tobytes()
     assert all(made[i].rgb is None and made[i].error for i in (1, 2, 3, 4))
-    gray = jpeg.encode_gray(held[1], [jpeg.Frame(8 * len(held[1]), 8, [jpeg.Component(1, 1, 1, 0)]).blocks(jpeg.Component(1, 1, 1, 0))], np.full(64, 1), [b""])
+    gray = jpeg.encode_planar(held[1], [jpeg.Frame(8 * len(held[1]), 8, [jpeg.Component(1, 1, 1, 0)])], np.full(64, 1), [b""])
+    assert (jpeg.decode_planar([gray[0], data])[1] == np.concatenate([held[1], *held])).all()
     assert (jpeg.decode_coefficients(gray[0]).coefficients[0] == held[1]).all()
 
 
