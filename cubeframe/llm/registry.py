@@ -19,4 +19,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE, "op6_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE, "op6_chat": chat.ORACLE, "op8_repeats": repeats.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -416,3 +416,21 @@ def brute_force(texts: list[str | None], length: int) -> list[tuple[int, int, in
         spans = int(np.diff(np.concatenate([[0], gone.astype(int)])).clip(0).sum())
         out.append((len(x), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest()))
     return out
+
+
+#: Every window by its digest, in blocks of text so that cutting one doesn't walk a long text.
+ORACLE = f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT r, o, substr(h, 2 * o + 1, 2 * (256 + {LENGTH - 1})) AS part
+  FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {LENGTH - 1}, 256)) AS o FROM texts)),
+windows AS (SELECT r, o + j AS i, md5_number(substr(part, 2 * j + 1, {2 * LENGTH})) AS key
+  FROM (SELECT r, o, part, unnest(range(0, least(256, length(part) // 2 - {LENGTH - 1}))) AS j FROM blocks)),
+again AS (SELECT r, i FROM windows WHERE key IN (SELECT key FROM windows GROUP BY key HAVING count(*) > 1)),
+marked AS (SELECT r, i, sum(CASE WHEN i - before <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again)),
+spans AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM marked GROUP BY r, span),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS start, a AS stop FROM spans
+  UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r),
+kept AS (SELECT g.r, string_agg(CASE WHEN stop IS NULL THEN substr(h, 2 * start + 1) ELSE substr(h, 2 * start + 1, 2 * (stop - start)) END, '' ORDER BY start) AS k FROM gaps g JOIN texts t ON t.r = g.r GROUP BY g.r),
+sizes AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM texts LEFT JOIN kept ON kept.r = texts.r LEFT JOIN sizes ON sizes.r = texts.r"""
