@@ -12,10 +12,35 @@ from pyspark.sql import functions as F
 
 from cubeframe.llm.common import table
 
-#: One of these as a whole token rejects a URL.
-STRICT = ("camgirls", "hentai", "milf", "porn", "pornhub", "porno", "xvideos", "xxx", "warez", "keygen")
-#: Soft terms and their weights; distinct hits count once each.
-SOFT = {"adult": 1, "bet": 1, "betting": 2, "bingo": 1, "casino": 2, "crack": 1, "escort": 2, "fetish": 2, "gambling": 2, "jackpot": 1, "naked": 2, "nude": 2, "pills": 1, "poker": 1, "sex": 2, "sexy": 1, "slots": 1, "torrent": 1, "viagra": 2, "webcam": 1}
+# The default vocabulary, by language, ASCII as URLs mostly write it. Pass others to ``judge``.
+#: One of these as a whole token rejects a URL: words that hardly stand in the address of another kind of page.
+STRICT = (
+    # names and words of any language
+    "bdsm", "blowjob", "brazzers", "bukkake", "camgirl", "camgirls", "chaturbate", "creampie", "cumshot", "gangbang", "handjob", "hentai", "milf", "milfs",
+    "porn", "pornhub", "porno", "pornos", "pornstar", "pornstars", "redtube", "sexcam", "sexcams", "upskirt", "xhamster", "xnxx", "xvideos", "xxx", "youporn",
+    "crackz", "keygen", "keygens", "nulled", "serialz", "warez",
+    # German
+    "fotze", "ficken", "pornofilme", "sexfilme", "sexkontakte",
+    # French
+    "pornographique", "salope", "salopes", "partouze", "pornographie",
+    # Spanish
+    "follando", "pornografia", "pornogratis", "putas", "putitas",
+)
+#: Soft terms and their weights: 2 for words that mostly stand on such pages, 1 for those with other uses. Distinct hits count once each.
+SOFT = {
+    # English
+    "adult": 1, "adults": 1, "babes": 1, "baccarat": 2, "bet": 1, "bets": 1, "betting": 2, "bikini": 1, "bingo": 1, "blackjack": 1, "bookmaker": 2, "boobs": 2,
+    "casino": 2, "casinos": 2, "cialis": 2, "crack": 1, "cracked": 1, "dating": 1, "erotic": 2, "erotica": 2, "escort": 2, "escorts": 2, "fetish": 2, "gamble": 1,
+    "gambling": 2, "hookup": 2, "horny": 2, "jackpot": 1, "levitra": 2, "lingerie": 1, "lottery": 1, "naked": 2, "nsfw": 2, "nude": 2, "nudes": 2, "orgasm": 2,
+    "payday": 1, "pills": 1, "pirated": 2, "poker": 1, "replica": 1, "roulette": 1, "serials": 1, "sex": 2, "sexual": 1, "sexy": 1, "slots": 1, "sportsbook": 2,
+    "steroids": 1, "stripper": 2, "strippers": 2, "swinger": 2, "swingers": 2, "topless": 2, "torrent": 1, "torrents": 1, "tramadol": 2, "viagra": 2, "webcam": 1, "webcams": 1,
+    # German
+    "erotik": 2, "erotisch": 2, "freispiele": 1, "gluecksspiel": 2, "huren": 2, "nackt": 2, "nutten": 2, "potenzmittel": 2, "spielautomaten": 2, "sportwetten": 2, "titten": 2, "wetten": 1,
+    # French
+    "cul": 1, "echangiste": 2, "erotique": 2, "nue": 1, "nues": 2, "rencontres": 1, "seins": 1, "sexe": 2, "sexuel": 1,
+    # Spanish
+    "apuestas": 2, "culos": 2, "desnuda": 2, "desnudas": 2, "desnudos": 1, "erotico": 2, "eroticos": 2, "maduras": 1, "ruleta": 1, "sexo": 2, "tetas": 2, "tragamonedas": 2,
+}
 #: Reject from so many distinct soft terms of at least this summed weight.
 SOFT_TERMS, SOFT_WEIGHT = 2, 3
 #: Rules of the registered query: (verdict, host, path prefix).

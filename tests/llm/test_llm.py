@@ -277,6 +277,13 @@ def test_urls(spark, none):
         assert (r.host, r.path, r.rule, r.verdict) == cases[r.id][1:], cases[r.id]
     assert urls.judge(pages.union(pages)).count() == 2 * len(cases)
     assert urls.judge(none.withColumnRenamed("doc_id", "page_id")).count() == 0
+    words = [*urls.STRICT, *urls.SOFT]
+    assert len(set(words)) == len(words) and all(w.isascii() and w.isalnum() and w == w.lower() for w in words)
+    # a very long URL is judged whole; column names of the result don't clash
+    filler = "/plain" * 200_000
+    long = [(0, f"http://b.org{filler}/xxx"), (1, f"http://b.org{filler}?nackt=1&sexo=2"), (2, f"http://b.org{filler}/sexo"), (3, f"http://{'a.' * 50_000}example.com/en/")]
+    found = {r.id: r.verdict for r in urls.judge(spark.createDataFrame([(*r, "x", "y") for r in long], "page_id long, url string, rule string, verdict string")).collect()}
+    assert found == {0: "block", 1: "block", 2: "allow", 3: "block"}
 
 
 # --- 4 neighbours -----------------------------------------------------------------------------------------
