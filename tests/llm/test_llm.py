@@ -562,6 +562,9 @@ def test_chat(spark, none):
         assert d.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert (d.n_turns, d.loss_chars, d.loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.format_chats(frame.where("false")).count() == 0
+    long = "</s>[INST] é\n" * 100_000
+    r = chat.format_chats(spark.createDataFrame([(0, 0, "user", long), (0, 1, "assistant", long)], "conv_id long, turn long, role string, text string")).first()
+    assert r.identical and [tuple(t) for t in r.turns] == [("user", long), ("assistant", long)]
 
 
 # --- 7 toxicity -----------------------------------------------------------------------------------------------
@@ -858,3 +861,33 @@ def test_pipeline(spark, tmp_path):
     assert ids[2] == ids[3] and ids[4] == ids[5] and len(ids[4]) < len(ids[3])
     run = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, run)) == sorted(map(tuple, now.select(*run[0].__fields__).collect()))
+
+
+def test_pipeline_odd(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    # labels that no row here has: what isn't learned rejects nothing
+    folder = f"{tmp_path}/sf"
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    now = odd
+    for name, stage in corpus_pipeline.STAGES:
+        before = now
+        stage(spark, now, folder).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "toxicity":
+            assert now.count() == odd.count()
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in now.where("doc_id IS NOT NULL").collect()) == [0, 3, 4, 5, 7, 9, 10]
+            assert now.where("doc_id IS NULL").count() == 2  # rows without an id stay
+        if name == "secrets":
+            assert now.count() == before.count()
+        if name == "mixing":
+            # one long text is nearly all tokens: a leaf's prefix may end before it
+            assert now.exceptAll(before).count() == 0
+            now = before
+    assert {r.doc_id for r in now.collect()} == {0, 3, 4, 5, 7, 9, 10, None}
+    now = none
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, folder).write.parquet(f"{tmp_path}/none-{name}")
+        now = spark.read.parquet(f"{tmp_path}/none-{name}")
+        assert now.count() == 0
