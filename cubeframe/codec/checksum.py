@@ -42,6 +42,7 @@ def fletcher32(data: bytes) -> int:
     if n == 0:
         return 0
     one = int(words.sum())
-    two = int((words * ((n - np.arange(n, dtype=np.uint64)) % np.uint64(65535))).sum() % np.uint64(65535)) if n < 1 << 31 else sum(int(w) * (n - i) for i, w in enumerate(words))
-    fold = lambda x: 0 if x == 0 else (x - 1) % 65535 + 1
+    two = int((words * ((n - np.arange(n, dtype=np.uint64)) % np.uint64(65535))).sum() % np.uint64(65535)) if n < 1 << 31 else sum(int(w) * (n - i) for i, w in enumerate(words)) % 65535
+    # ones' complement sums: once a word isn't zero, neither sum is, and multiples of 65535 are 65535
+    fold = lambda x: (x - 1) % 65535 + 1 if one else 0
     return fold(two) << 16 | fold(one)

@@ -1,5 +1,7 @@
 """Round trips of all filters, published streams, and errors."""
 
+import struct
+
 import numpy as np
 import pytest
 
@@ -50,6 +52,24 @@ def test_fletcher():
         filters.pipeline("fletcher32", 1).decode(b"j" + data[1:], 11)
 
 
+@pytest.mark.parametrize(("data", "want"), [(b"00119999", (65535, 54227)), (b"\xff\xff", (65535, 65535)), (b"\xff\xff\0\0", (65535, 65535)), (bytes(8), (0, 0)), (b"", (0, 0))])
+def test_fletcher_multiples(data, want):
+    """A sum that is a multiple of 65535 is 65535 unless all is zero; readers take 0 for it as well."""
+    from cubeframe.codec.checksum import fletcher32
+
+    two, one = 0, 0
+    for k in range(0, len(data), 2):  # the published loop, folded at every word
+        one += int.from_bytes(data[k : k + 2], "big")
+        one = (one & 0xFFFF) + (one >> 16)
+        two += one
+        two = (two & 0xFFFF) + (two >> 16)
+    assert (fletcher32(data) >> 16, fletcher32(data) & 0xFFFF) == (two, one) == want
+    pipe = filters.pipeline("fletcher32", 1)
+    for order in (">", "<"):
+        for made in ((two, one), (two % 65535, one % 65535)):
+            assert pipe.decode(data + struct.pack(f"{order}I", made[0] << 16 | made[1]), len(data)) == data
+
+
 def test_masks_and_errors():
     pipe = filters.pipeline("shuffle,deflate:6", 4)
     assert pipe.decode(filters.shuffle(F32, (4,)), len(F32), mask=2) == F32
