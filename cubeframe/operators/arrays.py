@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cubeframe.codec.container import open_container
 from cubeframe.errors import InvalidState, OutOfBounds
@@ -215,7 +216,8 @@ def write_array(df: DataFrame, path: str, dataset: str, *, mode: str = "append",
         shape = list(infer_shape(df).first()["shape"])
     kind = df.select(*[c for c in df.columns if c not in axes])
     if axes and shape is not None or axes and chunk:
-        size = chunk or [max(1, (1 << 20) // max(1, 8 * int(np.prod(shape[1:], dtype=object)))), *[max(1, n) for n in shape[1:]]]
+        block = 1 << (15 if any(_has_text(f.dataType) for f in kind.schema.fields) else 20)  # texts are longer than their cells
+        size = chunk or [max(1, block // max(1, 8 * int(np.prod(shape[1:], dtype=object)))), *[max(1, n) for n in shape[1:]]]
         keys = [F.expr(f"{a} div {k}") for a, k in zip(axes, size)]
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, *keys).sortWithinPartitions(*keys, *axes)
@@ -235,6 +237,12 @@ def write_array(df: DataFrame, path: str, dataset: str, *, mode: str = "append",
     writer.save()
 
 
+def _has_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_text(f.dataType) for f in kind.fields)
+    return _has_text(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.StringType)
+
+
 def _list_depth(df: DataFrame) -> int:
     kind, n = (df.schema["value"].dataType if [c for c in df.columns if c not in axes_of(df)] == ["value"] else None), 0
     while kind is not None and kind.typeName() == "array":

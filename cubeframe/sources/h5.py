@@ -141,18 +141,20 @@ class BoxReader(DataSourceReader):
 
 
 def plan(c: Container, d: Dataset, low: tuple[int, ...], high: tuple[int, ...], target: int, frames: bool = False) -> list[Piece]:
-    """Partitions of about ``target`` bytes over a box; ``frames`` keeps all chunks of a row together. Spark wants one at least."""
+    """Partitions of about ``target`` bytes over a box; ``frames`` keeps all chunks of a row together. Spark wants one at least.
+    Strings are elsewhere in the file, so rows and chunks that refer to some count as their share of it."""
     if any(b <= a for a, b in zip(low, high, strict=True)):
         return [Piece([], None, low, high)]
+    whole = (c.eof or 0) if dt.string_offsets(d.type) else 0
     if d.layout.kind != "chunked":
         if d.rank == 0:
             return [Piece([], (0, 1), low, high)]
-        row = max(1, int(np.prod(d.shape[1:], dtype=object)) * d.type.size)
+        row = max(1, int(np.prod(d.shape[1:], dtype=object)) * d.type.size, whole // d.shape[0])
         step = max(1, target // row)
         return [Piece([], (at, min(step, high[0] - at)), low, high) for at in range(low[0], high[0], step)]
     entries = c.chunk_entries(d)
     grid = [range(a // k, -(-b // k)) for a, b, k in zip(low, high, d.chunk, strict=True)]
-    per = max(1, target // max(1, d.chunk_bytes))
+    per = max(1, target // max(1, d.chunk_bytes, whole // max(1, len(entries))))
     out, held = [], []
     for at in itertools.product(*grid):
         if len(held) >= per and (not frames or at[0] != held[-1][0][0]):
@@ -205,7 +207,7 @@ class Written(WriterCommitMessage):
     part: str
     pieces: list[tuple[tuple[int, ...], int, int, bytes]]  # chunk, place, bytes, cells present (empty: all)
     most: tuple[int, ...]
-    heap: tuple[int, int] = (0, 0)
+    heap: int = 0  # bytes of its strings, in a file of their own
 
 
 @dataclass
@@ -265,7 +267,7 @@ def target_of(options: dict, schema: T.StructType) -> Target:
             raise InvalidState("contiguous arrays of more than one axis need the option shape")
         inner = shape[1:] if shape else ()
         row = max(1, int(np.prod(inner, dtype=object)) * element.size)
-        chunk = (max(1, (1 << 20) // row), *(max(1, n) for n in inner)) if rank else ()
+        chunk = (max(1, (1 << (16 if dt.string_offsets(element) else 20)) // row), *(max(1, n) for n in inner)) if rank else ()
     if len(chunk) != rank:
         raise InvalidState(f"chunks of rank {len(chunk)} for rows of rank {rank}")
     attributes = [ms.string_attribute(k[5:], v) for k, v in o.items() if k.startswith("attr.")]
@@ -275,7 +277,8 @@ def target_of(options: dict, schema: T.StructType) -> Target:
 
 
 class Part:
-    """One task's part file: chunks in the order of arrival, each written when the next begins."""
+    """One task's part file: chunks in the order of arrival, each written when the next begins.
+    Strings go to a file beside it as they come, so a chunk and a heap collection are held."""
 
     def __init__(self, t: Target, folder: str):
         self.t = t
@@ -288,17 +291,18 @@ class Part:
         self.open: tuple[int, ...] | None = None
         self.cells = int(np.prod(t.chunk, dtype=object)) if t.chunk else 1
         self.kind = dt.np_dtype(t.type)
-        self.texts: list[bytes] = []
+        self.texts = None
+        self.heap = bd.Heap(self._text)
         self.data = self.seen = None
 
     def strings(self, texts: list[bytes]) -> bytes:
-        """Provisional references: the number of the text, to be resolved when the heap is laid out."""
-        first = len(self.texts)
-        self.texts += texts
-        made = np.zeros(len(texts), np.dtype([("n", "<u4"), ("at", "<u8"), ("k", "<u4")]))
-        made["n"] = [len(x) for x in texts]
-        made["at"] = np.arange(first + 1, first + 1 + len(texts))
-        return made.tobytes()
+        """Provisional references, with addresses in this part's heap; its place is added when it is laid out."""
+        return self.heap.add(texts).tobytes()
+
+    def _text(self, collection: bytes) -> None:
+        if self.texts is None:
+            self.texts = open(f"{self.path}.heap", "wb")  # noqa: SIM115
+        self.texts.write(collection)
 
     def _start(self, at: tuple[int, ...]) -> None:
         self.flush()
@@ -356,7 +360,7 @@ class Part:
         if self.open is None:
             return
         raw = self.data.tobytes()
-        late = not self.t.chunked or self.t.type.kind == "vstring" or _has_strings(self.t.type)
+        late = not self.t.chunked or bool(dt.string_offsets(self.t.type))
         packed = raw if late else self.t.filters.encode(raw)
         self.file.write(packed)
         self.pieces.append((self.open, self.at, len(packed), b"" if self.seen.all() else np.packbits(self.seen).tobytes()))
@@ -365,20 +369,12 @@ class Part:
 
     def close(self) -> Written:
         self.flush()
-        heap = (0, 0)
-        if self.texts:
-            body, refs = bd.heap_collections(self.texts)
-            heap = (self.at, len(body))
-            self.file.write(body)
-            self.file.write(refs.tobytes())
-        self.file.flush()
-        os.fsync(self.file.fileno())
-        self.file.close()
-        return Written(self.path, self.pieces, tuple(int(x) for x in self.most), heap)
-
-
-def _has_strings(t: dt.DType) -> bool:
-    return t.kind == "vstring" or any(_has_strings(p) for p in t.parts) or bool(t.base and t.kind == "array" and _has_strings(t.base))
+        self.heap.close()
+        for f in filter(None, (self.file, self.texts)):
+            f.flush()
+            os.fsync(f.fileno())
+            f.close()
+        return Written(self.path, self.pieces, tuple(int(x) for x in self.most), self.heap.start)
 
 
 def _filled(batch: pa.RecordBatch, t: Target) -> pa.RecordBatch:
@@ -391,17 +387,6 @@ def _filled(batch: pa.RecordBatch, t: Target) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
 
-def _string_offsets(t: dt.DType, at: int = 0) -> list[int]:
-    """Places of variable-length references in an element."""
-    if t.kind == "vstring":
-        return [at]
-    if t.kind == "compound":
-        return [x for p, o in zip(t.parts, t.offsets, strict=True) for x in _string_offsets(p, at + o)]
-    if t.kind == "array":
-        return [x for k in range(int(np.prod(t.dims))) for x in _string_offsets(t.base, at + k * t.base.size)]
-    return []
-
-
 def store(b: bd.Builder, t: Target, messages: list[Written], before: tuple[bd.Spec, Dataset] | None = None) -> None:
     """Lay out what the tasks wrote. Chunks that several tasks hold parts of, and those that existed
     before, are put together cell by cell; a cell given twice is an error."""
@@ -419,11 +404,8 @@ def store(b: bd.Builder, t: Target, messages: list[Written], before: tuple[bd.Sp
             raise InvalidState(f"{shape} is beyond the largest shape {old.max_shape} of {old.path}")
         entries, filters = b.old.chunk_entries(old), spec.filters
     cells = int(np.prod(t.chunk, dtype=object)) if t.chunk else 1
-    refs = {}
-    for m in messages:
-        if m.heap[1]:
-            refs[m.part] = _heap(b, m)
-    late = not t.chunked or _has_strings(kind)
+    heaps = {m.part: _heap(b, m) for m in messages if m.heap}
+    late = not t.chunked or bool(dt.string_offsets(kind))
     files = {m.part: open(m.part, "rb") for m in messages if m.pieces}  # noqa: SIM115
     try:
         base = row = 0
@@ -447,8 +429,8 @@ def store(b: bd.Builder, t: Target, messages: list[Written], before: tuple[bd.Sp
                     files[m.part].seek(place)
                     raw = files[m.part].read(n)
                     own = np.frombuffer(raw if late else t.filters.decode(raw, cells * kind.size), np.uint8).reshape(cells, kind.size).copy()
-                    if m.part in refs:
-                        _resolve(own, kind, refs[m.part])
+                    if m.part in heaps:
+                        _resolve(own, kind, heaps[m.part])
                     mine = np.unpackbits(np.frombuffer(bits, np.uint8), count=cells).astype(bool) if bits else np.ones(cells, bool)
                     if (seen & mine).any():
                         raise InvalidState(f"a cell of chunk {at} is given twice")
@@ -486,21 +468,19 @@ def _inside(at: tuple[int, ...], chunk: tuple[int, ...], shape: tuple[int, ...])
     return made.reshape(-1)
 
 
-def _heap(b: bd.Builder, m: Written) -> np.ndarray:
-    place, n = m.heap
-    with open(m.part, "rb") as f:
-        f.seek(place)
-        base = b.put(f.read(n))
-        refs = np.frombuffer(f.read(), np.dtype([("n", "<u4"), ("at", "<u8"), ("k", "<u4")])).copy()
-    refs["at"] += base
-    return refs
+def _heap(b: bd.Builder, m: Written) -> int:
+    """Where a part's strings are now."""
+    base = b.reserve(m.heap)
+    b.file.seek(base)
+    with open(f"{m.part}.heap", "rb") as f:
+        shutil.copyfileobj(f, b.file, 1 << 20)
+    return base
 
 
-def _resolve(cells: np.ndarray, kind: dt.DType, refs: np.ndarray) -> None:
-    for offset in _string_offsets(kind):
-        own = np.ascontiguousarray(cells[:, offset : offset + 16]).view(np.dtype([("n", "<u4"), ("at", "<u8"), ("k", "<u4")]))[:, 0]
-        given = own["at"] > 0
-        own[given] = refs[own["at"][given].astype(np.int64) - 1]
+def _resolve(cells: np.ndarray, kind: dt.DType, base: int) -> None:
+    for offset in dt.string_offsets(kind):
+        own = np.ascontiguousarray(cells[:, offset : offset + 16]).view(bd.REF)[:, 0]
+        own["at"][own["k"] > 0] += base
         cells[:, offset : offset + 16] = own.view(np.uint8).reshape(-1, 16)
 
 

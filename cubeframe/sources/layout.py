@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from cubeframe.codec import datatype as dt
 from cubeframe.codec.container import Container, Dataset
 
-#: Cells of an Arrow batch in the long form.
-BATCH_CELLS = 1 << 17
+#: Cells of an Arrow batch in the long form; bytes of its strings, or cells where references don't state lengths.
+BATCH_CELLS, BATCH_BYTES, BATCH_UNKNOWN = 1 << 17, 4 << 20, 1000
 
 
 def is_axis(name: str) -> bool:
@@ -77,6 +77,21 @@ class Rows:
             columns |= {struct.type.field(i).name: struct.field(i) for i in range(struct.type.num_fields)}
         return pa.RecordBatch.from_arrays([columns[n] for n in self.names], names=self.names)
 
+    def _cuts(self, x: np.ndarray, row: int) -> Iterator[tuple[int, int]]:
+        """Runs of the first axis that make a batch each; ``row`` cells in each of its indices."""
+        places, n, at = dt.string_offsets(self.d.type), len(x), 0
+        stated = bool(places) and dt.reference_size(self.d.type) >= 8 + self.c.a
+        step = max(1, (BATCH_UNKNOWN if places and not stated else BATCH_CELLS) // max(1, row))
+        total = np.zeros(n, np.int64)
+        if stated and n:
+            raw = np.frombuffer(x.tobytes(), np.uint8).reshape(n, -1, self.d.type.size)
+            total = np.cumsum(sum(np.ascontiguousarray(raw[..., o : o + 4]).view("<u4").sum(axis=(1, 2), dtype=np.int64) for o in places))
+        while at < n:
+            fits = int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH_BYTES, "right"))
+            end = min(n, at + step, max(at + 1, fits))
+            yield at, end
+            at = end
+
     def emit(self, x: np.ndarray, offset: tuple[int, ...], coord: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
         """``x``: cells of a box that starts at ``offset``; axes beyond the rank belong to an array type."""
         rank = self.d.rank
@@ -91,9 +106,8 @@ class Rows:
             yield self._batch({"value": self._values(x, 0)})
             return
         row = int(np.prod(shape[1:], dtype=np.int64)) if rank > 1 else 1
-        step = max(1, BATCH_CELLS // max(1, row))
-        for at in range(0, shape[0], step):
-            part = x[at : at + step]
+        for at, end in self._cuts(x, row):
+            part = x[at:end]
             n = len(part)
             first = np.arange(offset[0] + at, offset[0] + at + n, dtype=np.int64)
             values = self._values(part, 0)

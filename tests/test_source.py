@@ -147,3 +147,43 @@ def test_streams(spark, tmp_path):
         got = spark.read.parquet(str(tmp_path / "out")).orderBy("d0").collect()
         assert [(r.d0, r.value) for r in got] == [(i, [i, 2 * i]) for i in range(50 * (k + 1))]
     assert np.prod(O.datasets(spark, path).first().shape) == 300
+
+
+def _batches(texts, n, compound=False):
+    import pyarrow as pa
+
+    for at in range(0, n, 500):
+        d0 = pa.array(range(at, min(n, at + 500)))
+        own = pa.array([texts(i) for i in range(at, min(n, at + 500))])
+        yield pa.RecordBatch.from_arrays([d0, d0, own], names=["d0", "id", "name"]) if compound else pa.RecordBatch.from_arrays([d0, own], names=["d0", "value"])
+
+
+@pytest.mark.parametrize("chunk", ["", "3000"])
+def test_strings_are_streamed(tmp_path, chunk):
+    """24 MB of texts, one of them of 6 MB, pass a writing and a reading task of far less; runs of rows are small, batches bounded by bytes."""
+    import tracemalloc
+
+    from pyspark.sql import types as T
+
+    from cubeframe.sources import h5
+
+    n = 9000
+    texts = lambda i: f"{i} é" * (800_000 if i == 4321 else 1 if i % 7 == 0 else 300) if i % 11 else ""
+    options = {"path": str(tmp_path / "a.h5"), "dataset": "x", "shape": str(n), **({"chunk": chunk} if chunk else {})}
+    schema = T.StructType().add("d0", "long").add("value", "string")
+    writer = h5.ArrayWriter(options, schema, True)
+    tracemalloc.start()
+    made = writer.write(_batches(texts, n // 3))
+    assert tracemalloc.get_traced_memory()[1] < 6 << 20
+    tracemalloc.stop()
+    rest = [b.slice(0) for b in _batches(texts, n) if b.column(0)[0].as_py() >= n // 3]
+    writer.commit([made, writer.write(iter(rest[1::2])), writer.write(iter(rest[::2]))])
+    reader = h5.BoxReader(options | {"target_bytes": str(4 << 20)}, schema, {"form": "long", "u64": "decimal", "enums": "name"})
+    pieces = reader.partitions()
+    assert len(pieces) >= 3
+    found = {}
+    for piece in pieces:
+        for batch in reader.read(piece):
+            assert batch.num_rows == 1 or batch.nbytes < 5 << 20
+            found |= dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    assert found == {i: texts(i) for i in range(n)}
