@@ -149,12 +149,12 @@ def test_streams(spark, tmp_path):
     assert np.prod(O.datasets(spark, path).first().shape) == 300
 
 
-def _batches(texts, n, compound=False):
+def _batches(texts, n, compound=False, step=500):
     import pyarrow as pa
 
-    for at in range(0, n, 500):
-        d0 = pa.array(range(at, min(n, at + 500)))
-        own = pa.array([texts(i) for i in range(at, min(n, at + 500))])
+    for at in range(0, n, step):
+        d0 = pa.array(range(at, min(n, at + step)))
+        own = pa.array([texts(i) for i in range(at, min(n, at + step))])
         yield pa.RecordBatch.from_arrays([d0, d0, own], names=["d0", "id", "name"]) if compound else pa.RecordBatch.from_arrays([d0, own], names=["d0", "value"])
 
 
@@ -187,3 +187,43 @@ def test_strings_are_streamed(tmp_path, chunk):
             assert batch.num_rows == 1 or batch.nbytes < 5 << 20
             found |= dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     assert found == {i: texts(i) for i in range(n)}
+
+
+def test_compound_strings_are_bounded(tmp_path):
+    """Chunks dealt to several tasks: a reader keeps few bytes of collections, and reads each of them few times over."""
+    import tracemalloc
+
+    from pyspark.sql import types as T
+
+    from cubeframe.codec import container
+    from cubeframe.sources import h5
+
+    n, tasks = 60_000, 80
+    texts = lambda i: f"{i % 9973} click" * (40 if i % 3 else 0)
+    options = {"path": str(tmp_path / "a.h5"), "dataset": "x", "shape": str(n), "chunk": "100", "filters": "zstd:3"}
+    schema = T.StructType().add("d0", "long").add("id", "long").add("name", "string")
+    writer = h5.ArrayWriter(options, schema, True)
+    batches = list(_batches(texts, n, True, 100))
+    writer.commit([writer.write(iter(batches[k::tasks])) for k in range(tasks)])
+    reader = h5.BoxReader(options, schema, {"form": "long", "u64": "decimal", "enums": "name"})
+    read, own = [], container.File.read
+
+    def counted(self, at, size):
+        read.append(size)
+        return own(self, at, size)
+
+    container.File.read = counted
+    try:
+        tracemalloc.start()
+        rows = 0
+        for piece in reader.partitions():
+            for batch in reader.read(piece):
+                d0 = batch.column(0).to_pylist()
+                assert batch.column(2).to_pylist() == [texts(i) for i in d0] and batch.column(1).to_pylist() == d0
+                rows += len(d0)
+        assert rows == n
+        assert tracemalloc.get_traced_memory()[1] < 13 << 20
+    finally:
+        tracemalloc.stop()
+        container.File.read = own
+    assert sum(read) < 2 * (tmp_path / "a.h5").stat().st_size
